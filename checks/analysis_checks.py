@@ -154,15 +154,15 @@ def logical_sql(source: str = "python", key: str = "doc_id", text: str = "code")
     """CTEs ending in logical(doc_id, line_no, last_no, indent, kind, code)."""
     word = r"[\p{L}_][\p{L}\p{N}_]*"
     return f"""
-bare AS (SELECT {key} AS doc_id, {bare_sql(text)} AS bare FROM {source}),
-lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS code FROM (SELECT doc_id, string_split(bare, chr(10)) AS l FROM bare)),
-sig AS (SELECT *, {_n_char('code', '([{')} - {_n_char('code', ')]}')} AS delta FROM lines
+bare AS MATERIALIZED (SELECT {key} AS doc_id, {bare_sql(text)} AS bare FROM {source}),
+lines AS MATERIALIZED (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS code FROM (SELECT doc_id, string_split(bare, chr(10)) AS l FROM bare)),
+sig AS MATERIALIZED (SELECT *, {_n_char('code', '([{')} - {_n_char('code', ')]}')} AS delta FROM lines
         WHERE trim(code, {q(" " + chr(9) + chr(12))}) <> ''),
-dep AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened FROM sig),
-grp AS (SELECT *, max(CASE WHEN opened <= 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM dep),
-joined AS (SELECT doc_id, head AS line_no, max(line_no) AS last_no, string_agg(code, ' ' ORDER BY line_no) AS code,
+dep AS MATERIALIZED (SELECT *, coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened FROM sig),
+grp AS MATERIALIZED (SELECT *, max(CASE WHEN opened <= 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM dep),
+joined AS MATERIALIZED (SELECT doc_id, head AS line_no, max(line_no) AS last_no, string_agg(code, ' ' ORDER BY line_no) AS code,
            arg_min(code, line_no) AS first_code FROM grp GROUP BY doc_id, head),
-logical AS (SELECT *, length(code) - length(ltrim(code, {q(" " + chr(9) + chr(12))})) AS indent, CASE
+logical AS MATERIALIZED (SELECT *, length(code) - length(ltrim(code, {q(" " + chr(9) + chr(12))})) AS indent, CASE
    WHEN regexp_matches(first_code, {q(r"^\s*def\s+" + word + r"\s*\(")}) THEN 'def'
    WHEN regexp_matches(first_code, {q(r"^\s*class\s+[\p{L}_]")}) THEN 'class'
    WHEN regexp_matches(first_code, {q(r"^\s*import\s+[\p{L}_]")}) THEN 'import'
@@ -174,7 +174,7 @@ logical AS (SELECT *, length(code) - length(ltrim(code, {q(" " + chr(9) + chr(12
 def blocks_sql() -> str:
     """blocks: ends by the next line that is not deeper, parents by the last shallower line before."""
     return """
-blocks AS (SELECT h.doc_id, h.kind, h.line_no AS start_line, h.code,
+blocks AS MATERIALIZED (SELECT h.doc_id, h.kind, h.line_no AS start_line, h.code,
    regexp_extract(h.code, '^\\s*(?:def|class)\\s+([\\p{L}\\p{N}_]+)', 1) AS name,
    (SELECT max(b.last_no) FROM logical b WHERE b.doc_id = h.doc_id AND b.line_no >= h.line_no AND b.line_no <
       coalesce((SELECT min(x.line_no) FROM logical x WHERE x.doc_id = h.doc_id AND x.line_no > h.line_no AND x.indent <= h.indent), 1000000000)) AS end_line,
@@ -193,14 +193,14 @@ def _args_sql():
 
 
 IMPORTS = r"""
-items AS (SELECT doc_id, line_no AS line, CASE WHEN kind = 'from' THEN regexp_extract(code, '^\s*from\s+\.*([\p{L}\p{N}_.]*)\s+import', 1) ELSE '' END AS module,
+items AS MATERIALIZED (SELECT doc_id, line_no AS line, CASE WHEN kind = 'from' THEN regexp_extract(code, '^\s*from\s+\.*([\p{L}\p{N}_.]*)\s+import', 1) ELSE '' END AS module,
    unnest(string_split(CASE WHEN kind = 'from' THEN regexp_extract(code, '^\s*from\s+\S+\s+import\s*\(?([^;)]*)', 1)
                             ELSE regexp_extract(code, '^\s*import\s+([^;]*)', 1) END, ',')) AS item FROM logical WHERE kind IN ('import', 'from')),
-named AS (SELECT *, regexp_extract(item, '^\s*([\p{L}\p{N}_.*]+)', 1) AS base FROM items),
-imports AS (SELECT doc_id, CASE WHEN module <> '' THEN module || '.' || base ELSE base END AS name,
+named AS MATERIALIZED (SELECT *, regexp_extract(item, '^\s*([\p{L}\p{N}_.*]+)', 1) AS base FROM items),
+imports AS MATERIALIZED (SELECT doc_id, CASE WHEN module <> '' THEN module || '.' || base ELSE base END AS name,
    nullif(regexp_extract(item, '\s+as\s+([\p{L}\p{N}_]+)', 1), '') AS alias, line FROM named WHERE base <> '')"""
 VARIABLES = r"""
-variables AS (SELECT doc_id, unnest(regexp_extract_all(regexp_extract(code, '^\s*((?:[\p{L}_][\p{L}\p{N}_]*\s*=\s*)+)[^=\s]', 1), '([\p{L}\p{N}_]+)\s*=', 1)) AS name,
+variables AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(regexp_extract(code, '^\s*((?:[\p{L}_][\p{L}\p{N}_]*\s*=\s*)+)[^=\s]', 1), '([\p{L}\p{N}_]+)\s*=', 1)) AS name,
    line_no AS line FROM logical WHERE kind = 'assign')"""
 
 
@@ -264,12 +264,12 @@ def analysis_sql(source, key, text="content", model=None, keep=""):
         (("merge sort", "mergesort"), "Merge Sort"), (("binary search",), "Binary Search"),
         (("palindrome",), "Palindrome Check"), (("fibonacci",), "Fibonacci Sequence"), (("is_prime",), "Prime Number Check")))
     return f"""{det},
-a1 AS (SELECT *, language AS lang0, lower(code) AS lowered, {over} AS o, {bare_sql('code')} AS bare FROM detected),
-a2 AS (SELECT *, coalesce(split_part(o, '|', 1), {mp}) AS aim0, coalesce(split_part(o, '|', 2)::DOUBLE, {mc}) AS c0,
+a1 AS MATERIALIZED (SELECT *, language AS lang0, lower(code) AS lowered, {over} AS o, {bare_sql('code')} AS bare FROM detected),
+a2 AS MATERIALIZED (SELECT *, coalesce(split_part(o, '|', 1), {mp}) AS aim0, coalesce(split_part(o, '|', 2)::DOUBLE, {mc}) AS c0,
        {name_override_sql('code', 'lang0')} AS lang1, {line_end_sql('code')} AS lang_end FROM a1),
-a3 AS (SELECT *, CASE lang1 WHEN 'Configuration' THEN 'Configuration' WHEN 'JSON' THEN 'Data Structure' WHEN 'YAML' THEN 'Configuration' ELSE aim0 END AS aim1,
+a3 AS MATERIALIZED (SELECT *, CASE lang1 WHEN 'Configuration' THEN 'Configuration' WHEN 'JSON' THEN 'Data Structure' WHEN 'YAML' THEN 'Configuration' ELSE aim0 END AS aim1,
        CASE WHEN {cpp_sql('code')} THEN 'C/C++' ELSE coalesce(lang_end, lang1) END AS lang3 FROM a2),
-a4 AS (SELECT *, CASE
+a4 AS MATERIALIZED (SELECT *, CASE
    WHEN lang3 = 'JSON' THEN CASE WHEN starts_with({strip('code')}, '[') THEN 'Array|' ELSE 'Object|' END || aim1
    WHEN lang3 = 'Configuration' AND (contains(lowered, 'requirements.txt') OR {m('code', r'^\s*[\w-]+(~=|==|>=|<=|!=|>|<)\d+', multiline=True)}) THEN 'Python Dependencies|Python Dependencies'
    WHEN lang3 = 'Configuration' AND {m('code', r'^\s*[A-Z_]+=', multiline=True)} THEN 'Environment Variables|Environment Configuration'
@@ -281,8 +281,8 @@ a4 AS (SELECT *, CASE
    WHEN lang3 = 'TypeScript' AND {m('code', r'React\.FC|React\.Component|function\s+\w+\s*\(\s*\{.*\}\s*\)\s*{.*return')} THEN 'React Component|UI Component'
    WHEN lang3 = 'TypeScript' AND {m('code', 'useState|useEffect|useContext|useRef')} THEN 'React Hooks Component|UI Component with Hooks'
    ELSE '|' || aim1 END AS tags FROM a3),
-a5 AS (SELECT *, split_part(tags, '|', 2) AS type, nullif(split_part(tags, '|', 1), '') AS detail FROM a4),
-a6 AS (SELECT *, coalesce(detail,
+a5 AS MATERIALIZED (SELECT *, split_part(tags, '|', 2) AS type, nullif(split_part(tags, '|', 1), '') AS detail FROM a4),
+a6 AS MATERIALIZED (SELECT *, coalesce(detail,
    CASE WHEN type = 'Algorithm Implementation' THEN CASE {algo} END
         WHEN type = 'Math Computation' THEN CASE WHEN {m('lowered', r'\[\s*\w+\s*\*\*\s*\d+\s+for')} OR contains(lowered, 'squares') THEN 'Square Numbers'
              WHEN contains(lowered, 'factorial') THEN 'Factorial' END END) AS specific_type,
@@ -299,7 +299,7 @@ a6 AS (SELECT *, coalesce(detail,
      CASE WHEN lang3 = 'Python' AND {m('lowered', r'\[\s*\w+\s*\*\*\s*\d+\s+for\s+\w+\s+in\s+range')} THEN 0.85 ELSE 0 END,
      CASE WHEN type = 'Algorithm Implementation' AND contains(lowered, 'is_palindrome') THEN 0.85 ELSE 0 END,
      CASE WHEN lang3 = 'C/C++' AND contains(lowered, '#include') THEN 0.82 ELSE 0 END))::DOUBLE AS c1 FROM a5),
-analysed AS (SELECT {key}{keep}, code, lang0 AS detected_language, language_rule, lang3 AS language, type, specific_type,
+analysed AS MATERIALIZED (SELECT {key}{keep}, code, lang0 AS detected_language, language_rule, lang3 AS language, type, specific_type,
    round_even(c1 * 100, 0) / 100 AS confidence, {summary_sql('lowered', 'lang3', 'type')} AS summary FROM a6)"""
 
 
@@ -307,10 +307,10 @@ KP = f"labelled AS (SELECT *, {keyword_purpose_sql('content', 'language')} AS ke
 A = f"WITH {corpus_sql()}, {KP}, {analysis_sql('labelled', 'doc_id', model=('keyword_purpose', str(STAND_IN)), keep=', filename, keyword_purpose')}"
 PY = f"WITH {corpus_sql()}, {detection_sql('corpus', 'doc_id')}, python AS (SELECT * FROM detected WHERE language = 'Python'), {logical_sql()}"
 COUNTS = f"""{IMPORTS}, {VARIABLES},
-counted AS (SELECT doc_id, sum((kind = 'def')::INT) AS functions, sum((kind = 'class')::INT) AS classes,
+counted AS MATERIALIZED (SELECT doc_id, sum((kind = 'def')::INT) AS functions, sum((kind = 'class')::INT) AS classes,
    sum((kind = 'control')::INT) AS control_structures, max(last_no) AS line_count, max(indent) AS max_indent FROM logical GROUP BY doc_id),
 ni AS (SELECT doc_id, count(*) AS imports FROM imports GROUP BY doc_id), nv AS (SELECT doc_id, count(*) AS variables FROM variables GROUP BY doc_id),
-complexity AS (SELECT d.doc_id, d.language, coalesce(functions, 0) AS functions, coalesce(classes, 0) AS classes, coalesce(imports, 0) AS imports,
+complexity AS MATERIALIZED (SELECT d.doc_id, d.language, coalesce(functions, 0) AS functions, coalesce(classes, 0) AS classes, coalesce(imports, 0) AS imports,
    coalesce(variables, 0) AS variables, coalesce(control_structures, 0) AS control_structures, coalesce(line_count, 0) AS line_count,
    coalesce(max_indent, 0) AS max_indent, 1 + coalesce(control_structures, 0) AS cyclomatic_complexity
    FROM detected d LEFT JOIN counted USING (doc_id) LEFT JOIN ni USING (doc_id) LEFT JOIN nv USING (doc_id))"""

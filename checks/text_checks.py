@@ -185,9 +185,9 @@ def detection_sql(source: str, key: str, name: str = "detected", text: str = "co
     """CTEs ending in ``name(key, language, language_rule, ...)``."""
     cpp = " OR ".join(m("code", p) for p in catalog.CPP_MARKERS)
     return f"""
-{name}_t AS (SELECT {key}{keep}, coalesce({text}, '') AS code, {folded(f"coalesce({text}, '')")} AS low,
+{name}_t AS MATERIALIZED (SELECT {key}{keep}, coalesce({text}, '') AS code, {folded(f"coalesce({text}, '')")} AS low,
              {strip(f"coalesce({text}, '')")} AS st FROM {source}),
-{name}_u AS (SELECT *, lower(regexp_extract(code, {q(re2(BARE_NAME))}, 1)) AS bare,
+{name}_u AS MATERIALIZED (SELECT *, lower(regexp_extract(code, {q(re2(BARE_NAME))}, 1)) AS bare,
              regexp_extract(code, {q(re2(QUOTED_NAME))}, 1) AS quoted,
              {present("low", catalog.CSS_SELECTORS)} AS css,
              {present("low", catalog.SCRIPT_HINTS)} AS js,
@@ -196,10 +196,10 @@ def detection_sql(source: str, key: str, name: str = "detected", text: str = "co
              CASE WHEN {mi("low", r"function\s+\w+\s*\(")} THEN 0 ELSE {present("low", catalog.CSS_PROPERTIES)} END AS n_css,
              ({m("low", RULE_BLOCK)} AND NOT {m("low", r"function\s+\w+|const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*=")}) AS blk
              FROM {name}_t),
-{name}_v AS (SELECT *, CASE WHEN n_js >= 2 THEN n_js * 1.5 ELSE 0 END::DOUBLE AS s_js,
+{name}_v AS MATERIALIZED (SELECT *, CASE WHEN n_js >= 2 THEN n_js * 1.5 ELSE 0 END::DOUBLE AS s_js,
              (CASE WHEN blk AND n_css > 0 THEN n_css * 1.5 * 1.5 WHEN blk THEN 3.0 ELSE n_css * 1.5 END)::DOUBLE AS s_css
              FROM {name}_u),
-{name}_w AS (SELECT *, CASE
+{name}_w AS MATERIALIZED (SELECT *, CASE
   WHEN length(st) < 5 THEN '01|Unknown (insufficient code)'
   WHEN ({m("code", r"sx\s*=\s*\{\s*\{")} OR {m("code", r"style\s*=\s*\{\s*\{")})
        AND regexp_matches(code, 'fontWeight|borderBottom|borderColor|padding|margin|color|display') THEN '02|JavaScript'
@@ -228,7 +228,7 @@ def detection_sql(source: str, key: str, name: str = "detected", text: str = "co
   WHEN greatest(s_cpp, s_js, s_css) >= 2 THEN '23|' || CASE greatest(s_cpp, s_js, s_css) WHEN s_cpp THEN 'C/C++' WHEN s_js THEN 'JavaScript' ELSE 'CSS' END
   WHEN {cpp} THEN '25|C/C++'
   ELSE '26|Unknown' END AS hit FROM {name}_v),
-{name} AS (SELECT {key}{keep}, code, low, split_part(hit, '|', 2) AS language, 'C1.' || split_part(hit, '|', 1) AS language_rule FROM {name}_w)"""
+{name} AS MATERIALIZED (SELECT {key}{keep}, code, low, split_part(hit, '|', 2) AS language, 'C1.' || split_part(hit, '|', 1) AS language_rule FROM {name}_w)"""
 
 
 def _lang_key(language):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import catalog
 from corpuscope.functions.patterns import any_of, first_group, fold, found, how_many, occurrences, total
+from corpuscope.functions.steps import pinned
 from corpuscope.functions.text import folded, newline_lines, strip
 
 ANNOTATION = r":\s*(?:string|number|boolean|any|void)"
@@ -141,7 +142,7 @@ def with_language(df: DataFrame, text: str = "content", rules_only: bool = True)
         *([F.lit("C1.26|Unknown")] if rules_only else []),
     )
     df = df.withColumn("_hit", scored)
-    return df.withColumns({
+    return pinned(df, {
         "language": F.substring_index("_hit", "|", -1),
         "language_rule": F.substring_index("_hit", "|", 1),
     }).drop("_low", "_strip", "_hit", "_file", "_quoted", "_css", "_script", "_cpp", "_js", "_prop", "_block")

@@ -21,29 +21,33 @@ ASSIGNMENT = r"^\s*((?:[\p{L}_][\p{L}\p{N}_]*\s*=\s*)+)[^=\s]"
 CONTROL = r"^\s*(?:if|elif|for|while|try|with)(?![\p{L}\p{N}_])"
 
 
-def _empty_quoted_blocks(text: Column, quotes: str) -> Column:
+def _empty_quoted_blocks(df: DataFrame, column: str, quotes: str) -> DataFrame:
     """Replace triple-quoted strings by a bracket pair with the same number of newlines."""
-    parts = F.split(text, F.lit(quotes))
-    inside = F.transform(
-        parts,
+    df = df.withColumn("_parts", F.when(F.contains(column, F.lit(quotes)), F.split(column, F.lit(quotes))))
+    df = df.withColumn("_last", F.size("_parts") - 1)
+    emptied = F.transform(
+        "_parts",
         lambda p, i: F.when(
-            (i % 2 == 1) & (i < F.size(parts) - 1),
+            (i % 2 == 1) & (i < F.col("_last")),
             F.concat(F.lit("("), F.repeat(F.lit("\n"), count_char(p, "\n")), F.lit(")")),
         ).when(i % 2 == 1, F.concat(F.lit(quotes), p)).otherwise(p),
     )
-    return F.when(F.contains(text, F.lit(quotes)), F.array_join(inside, "")).otherwise(text)
+    return df.withColumn(column, F.coalesce(F.array_join(emptied, ""), F.col(column))).drop("_parts", "_last")
 
 
-def bare_code(text: Column) -> Column:
-    """Text with unix line ends and with strings and comments emptied; line numbers kept."""
-    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    text = _empty_quoted_blocks(_empty_quoted_blocks(text, '"""'), "'''")
-    return F.regexp_replace(text, STRINGS_AND_COMMENTS, "$1$2$1$2")
+def with_bare_code(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the text with unix line ends and with strings and comments emptied; line numbers kept.
+
+    Built in several projections, so that no step's expression is repeated inside the next.
+    """
+    unix = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    df = df.withColumn(out, unix)
+    df = _empty_quoted_blocks(_empty_quoted_blocks(df, out, '"""'), out, "'''")
+    return df.withColumn(out, F.regexp_replace(out, STRINGS_AND_COMMENTS, "$1$2$1$2"))
 
 
-def looks_parsable(text: Column) -> Column:
-    """Brackets of each kind balance once strings and comments are emptied."""
-    bare = bare_code(text)
+def looks_parsable(bare: Column) -> Column:
+    """Brackets of each kind balance in a text whose strings and comments are emptied."""
     return (
         (count_char(bare, "(") == count_char(bare, ")"))
         & (count_char(bare, "[") == count_char(bare, "]"))
@@ -57,7 +61,8 @@ def logical_lines(df: DataFrame, key: str = "doc_id", text: str = "content") ->
     ``kind`` is def, class, import, from, control, assign or other.
     """
     lines = (
-        df.select(key, F.posexplode(F.split(bare_code(F.col(text)), "\n")).alias("_pos", "code"))
+        with_bare_code(df.select(key, F.col(text).alias("_text")), "_text", "_bare")
+        .select(key, F.posexplode_outer(F.split("_bare", "\n")).alias("_pos", "code"))
         .where(F.btrim(F.col("code"), F.lit(" \t\f")) != "")
         .withColumns({
             "line_no": F.col("_pos") + 1,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.steps import pinned
 from corpuscope.functions.text import folded, is_blank
 from corpuscope.operators import confidence as conf
 from corpuscope.operators import language as lang
 from corpuscope.operators import purpose as aim
-from corpuscope.operators.structure import complexity_table, looks_parsable
+from corpuscope.operators.structure import complexity_table, looks_parsable, with_bare_code
 from corpuscope.operators.summary import tidy_model_summary, with_summary
 
 
@@ -69,7 +70,11 @@ def analyze(
         F.when(lang.cpp_override(code), "C/C++").otherwise(F.coalesce("_lang_end", "_lang1")),
     )
     df = df.withColumn("_tags", aim.detail_and_purpose(code, low, F.col("language"), F.col("_aim1")))
-    df = df.withColumns({"type": F.substring_index("_tags", "|", -1), "_detail": F.substring_index("_tags", "|", 1)})
+    df = pinned(df, {
+        "language": F.col("language"),
+        "type": F.substring_index("_tags", "|", -1),
+        "_detail": F.substring_index("_tags", "|", 1),
+    })
     kind = F.col("type")
     df = df.withColumn("specific_type", F.coalesce(
         F.nullif("_detail", F.lit("")),
@@ -77,8 +82,10 @@ def analyze(
         F.when(kind == "Math Computation", aim.math_detail(low)),
     ))
 
+    df = df.withColumn("_python", F.when(F.col("detected_language") == "Python", code))
+    df = with_bare_code(df, "_python", "_bare")
     floors = [
-        F.when((F.col("detected_language") != "Python") | looks_parsable(code), 0.75),
+        F.when((F.col("detected_language") != "Python") | looks_parsable(F.col("_bare")), 0.75),
         conf.presence_floor(low_folded, F.col("_lang1")),
         F.when(F.col("_lang_end").isNotNull(), 0.85),
         *conf.pattern_floors(code, low, F.col("language"), kind),
@@ -100,7 +107,7 @@ def analyze(
             (F.col(best_match) if best_match else F.lit(None).cast("string")).alias("best_match"),
             F.col(similarity).cast("double").alias("similarity_score"))))
     return df.drop(
-        "_code", "_lower", "_folded", "_lang1", "_lang_end", "_aim1", "_tags", "_detail", "purpose")
+        "_code", "_lower", "_folded", "_python", "_bare", "_lang1", "_lang_end", "_aim1", "_tags", "_detail", "purpose")
 
 
 def reject_reason(text: Column) -> Column:
