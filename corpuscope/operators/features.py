@@ -7,59 +7,73 @@ vocabulary statistics are, combined inside each task first.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.functions.steps import pinned
 from corpuscope.functions.text import replace_all
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def char_grams(text: Column, low: int, high: int) -> Column:
+def _starts(items: str, n: int) -> Column:
+    none = F.array().cast("array<int>")
+    return F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(none)
+
+
+@dataclass(frozen=True)
+class CharGrams:
     """Character n-grams of the lower-cased text with runs of blanks squeezed, low <= n <= high.
 
     The text is split into characters once; an n-gram joins neighbours of that array.
     """
-    squeezed = replace_all(F.lower(text), r"\s\s+", " ")
-    chars = F.split(squeezed, "")
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        if n == 1:
-            return F.filter(chars, lambda c: c != "")
-        return F.transform(starts, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)]))
+    text: str
+    low: int
+    high: int
+
+    def add(self, df: DataFrame, out: str) -> DataFrame:
+        squeezed = replace_all(F.lower(F.col(self.text)), r"\s\s+", " ")
+        df = pinned(df, {"_items": F.filter(F.split(squeezed, ""), lambda c: c != "")})
+
+        def of(n: int) -> Column:
+            return F.transform(
+                _starts("_items", n), lambda i: F.concat(*[F.element_at("_items", i + k) for k in range(n)]))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+        return df.withColumn(out, F.concat(*[of(n) for n in range(self.low, self.high + 1)])).drop("_items")
 
 
-def word_list(text: Column, stop_words: list[str] | None = None) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    return words
+@dataclass(frozen=True)
+class WordGrams:
+    """Word n-grams joined by blanks; words have two characters or more, stop words go first."""
 
+    text: str
+    low: int
+    high: int
+    stop_words: tuple[str, ...] = ()
 
-def word_grams(text: Column, low: int, high: int, stop_words: list[str] | None = None) -> Column:
-    """Word n-grams joined by blanks; words have two characters or more."""
-    words = word_list(text, stop_words)
+    def add(self, df: DataFrame, out: str) -> DataFrame:
+        words = F.regexp_extract_all(F.lower(F.col(self.text)), F.lit(WORD), F.lit(0))
+        if self.stop_words:
+            words = F.filter(words, lambda w: ~w.isin(*self.stop_words))
+        df = pinned(df, {"_items": words})
 
-    def of(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, n)))
+        def of(n: int) -> Column:
+            return F.transform(_starts("_items", n), lambda i: F.concat_ws(" ", F.slice("_items", i, n)))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+        return df.withColumn(out, F.concat(*[of(n) for n in range(self.low, self.high + 1)])).drop("_items")
 
 
-def term_counts(df: DataFrame, grams: Column, key: str, keep: list[str] | None = None) -> DataFrame:
+def term_counts(df: DataFrame, grams: CharGrams | WordGrams, key: str, keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, gram, tf), clustered on the key."""
     keep = keep or []
-    placed = df.repartition(F.col(key))
+    placed = grams.add(df.select(key, *keep, grams.text).repartition(F.col(key)), "_grams")
+    # the outer form: no size filter is derived, which would build every gram list twice
     return (
-        placed.select(key, *keep, F.explode(grams).alias("gram"))
+        placed.select(key, *keep, F.explode_outer("_grams").alias("gram"))
+        .where(F.col("gram").isNotNull())
         .groupBy(key, *keep, "gram").agg(F.count("*").alias("tf"))
     )
 
@@ -73,7 +87,7 @@ def vocabulary(terms: DataFrame, max_features: int, min_df: int = 1) -> DataFram
     )
 
 
-def tfidf(df: DataFrame, grams: Column, key: str, max_features: int, min_df: int = 1,
+def tfidf(df: DataFrame, grams: CharGrams | WordGrams, key: str, max_features: int, min_df: int = 1,
           keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, gram, tf, weight): tf * (ln((1+N)/(1+df)) + 1), scaled to length 1 per text.
 

@@ -40,8 +40,10 @@ def with_rank(df: DataFrame, by: list[str], key: str, salt: str = "") -> DataFra
         "_before": F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_size": F.sum("_n").over(Window.partitionBy(*by)),
     }).drop("_n")
-    same = [keyed[c].eqNullSafe(counts[c]) for c in by] + [keyed["_slice"] == counts["_slice"]]
-    joined = keyed.join(counts, same).drop(*[counts[c] for c in [*by, "_slice"]])
+    counts = counts.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slice").alias("_of"), "_before", "_size")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_slice") == F.col("_of")]
+    joined = keyed.join(counts, same).drop(*[f"_by{i}" for i in range(len(by))], "_of")
     w = Window.partitionBy(*by, "_slice").orderBy("_hash", key)
     return joined.withColumn("_rank", F.col("_before") + F.row_number().over(w)).drop("_hash", "_slice", "_before")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.steps import pinned
 from corpuscope.functions.vectors import cosine, dot, norm
 
 MOST_REFERENCES = 10_000
@@ -20,13 +21,13 @@ def nearest_reference(df: DataFrame, references: DataFrame, vector: str, name: s
     """
     unit = F.transform(vector, lambda x: x.cast("double") / F.col("_norm"))
     packed = (
-        references.withColumn("_norm", norm(F.col(vector))).where(F.col("_norm") > 0)
+        pinned(references, {"_norm": norm(F.col(vector))}).where(F.col("_norm") > 0)
         .agg(F.array_sort(F.collect_list(F.struct(
             F.col(order).alias("ord"), F.col(name).alias("name"), unit.alias("unit")))).alias("refs"))
         .select(F.when(F.size("refs") <= most, F.col("refs")).otherwise(
             F.raise_error(F.lit("too many reference examples to pack"))))
     )
-    rows = df.withColumns({"_refs": packed.scalar(), "_norm": norm(F.col(vector))})
+    rows = pinned(df, {"_norm": norm(F.col(vector))}).withColumn("_refs", packed.scalar())
     scores = F.transform(
         "_refs",
         lambda r: F.struct(
@@ -34,7 +35,7 @@ def nearest_reference(df: DataFrame, references: DataFrame, vector: str, name: s
             (-r["ord"]).alias("first"), r["name"].alias("name")),
     )
     best = F.array_max(F.filter(scores, lambda s: s["score"] > -1))
-    return rows.withColumn("_best", best).select(
+    return pinned(rows, {"_best": best}).select(
         *df.columns, F.col("_best.name").alias("best_match"), F.col("_best.score").alias("similarity_score"))
 
 
