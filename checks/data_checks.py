@@ -301,7 +301,8 @@ cg AS (SELECT lang, gram, sum(weight) AS s FROM tr GROUP BY ALL), ct AS (SELECT
 lp AS MATERIALIZED (SELECT g.lang, g.gram, ln((coalesce(s, 0) + 1) / (tot + v)) AS lp FROM grid g LEFT JOIN cg USING (lang, gram) JOIN ct USING (lang), v),
 scores AS MATERIALIZED (SELECT doc_id, lp.lang, any_value(p) + sum(weight * lp) AS score FROM te JOIN lp USING (gram) JOIN pri ON pri.lang = lp.lang GROUP BY doc_id, lp.lang)"""
 
-_PRED = (f"WITH {C}, {detection_sql('corpus', 'doc_id', keep=', language AS declared, source, filename')}, "
+_PRED = (f"WITH {C}, renamed AS (SELECT doc_id, content, source, language AS declared FROM corpus), "
+         f"{detection_sql('renamed', 'doc_id', keep=', declared, source')}, "
          f"pred AS MATERIALIZED (SELECT doc_id, declared, language AS predicted, code AS content, CASE {_source_arms} ELSE 'Other' END AS expected_purpose, "
          f"{keyword_purpose_sql('code', 'language')} AS keyword_purpose FROM detected)")
 

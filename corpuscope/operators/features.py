@@ -18,31 +18,22 @@ from corpuscope.functions.text import replace_all
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def _starts(items: str, n: int) -> Column:
-    none = F.array().cast("array<int>")
-    return F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(none)
-
-
 @dataclass(frozen=True)
 class CharGrams:
-    """Character n-grams of the lower-cased text with runs of blanks squeezed, low <= n <= high.
-
-    The text is split into characters once; an n-gram joins neighbours of that array.
-    """
+    """Character n-grams of the lower-cased text with runs of blanks squeezed, low <= n <= high."""
 
     text: str
     low: int
     high: int
 
     def add(self, df: DataFrame, out: str) -> DataFrame:
-        squeezed = replace_all(F.lower(F.col(self.text)), r"\s\s+", " ")
-        df = pinned(df, {"_items": F.filter(F.split(squeezed, ""), lambda c: c != "")})
-
-        def of(n: int) -> Column:
-            return F.transform(
-                _starts("_items", n), lambda i: F.concat(*[F.element_at("_items", i + k) for k in range(n)]))
-
-        return df.withColumn(out, F.concat(*[of(n) for n in range(self.low, self.high + 1)])).drop("_items")
+        df = pinned(df, {"_squeezed": replace_all(F.lower(F.col(self.text)), r"\s\s+", " ")})
+        # an empty match at every character, with the n-gram as what lies ahead
+        grams = [
+            F.regexp_extract_all("_squeezed", F.lit(rf"(?s)(?<![\x{{D800}}-\x{{DBFF}}])(?=(.{{{n}}}))"), F.lit(1))
+            for n in range(self.low, self.high + 1)
+        ]
+        return df.withColumn(out, F.concat(*grams)).drop("_squeezed")
 
 
 @dataclass(frozen=True)
@@ -58,12 +49,12 @@ class WordGrams:
         words = F.regexp_extract_all(F.lower(F.col(self.text)), F.lit(WORD), F.lit(0))
         if self.stop_words:
             words = F.filter(words, lambda w: ~w.isin(*self.stop_words))
-        df = pinned(df, {"_items": words})
-
-        def of(n: int) -> Column:
-            return F.transform(_starts("_items", n), lambda i: F.concat_ws(" ", F.slice("_items", i, n)))
-
-        return df.withColumn(out, F.concat(*[of(n) for n in range(self.low, self.high + 1)])).drop("_items")
+        df = pinned(df, {"_words": F.array_join(words, " ")})
+        grams = [
+            F.regexp_extract_all("_words", F.lit(rf"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{n - 1}}}))"), F.lit(1))
+            for n in range(self.low, self.high + 1)
+        ]
+        return df.withColumn(out, F.concat(*grams)).drop("_words")
 
 
 def term_counts(df: DataFrame, grams: CharGrams | WordGrams, key: str, keep: list[str] | None = None) -> DataFrame:
@@ -126,7 +117,7 @@ def naive_bayes_scores(train: DataFrame, test: DataFrame, key: str, label: str,
         key, F.col("_c.label").alias(label), "_sum",
         (F.col("_c.prior") + F.col("_sum") * (F.log(a) - F.col("_c.scale"))).alias("_base"))
     gains = class_gram.select(label, "gram", (F.log(F.col("_w") + a) - F.log(a)).alias("_gain"))
-    seen = test.join(gains, "gram").groupBy(key, label).agg(
+    seen = test.select(key, "gram", "weight").join(gains, "gram").groupBy(key, label).agg(
         F.sum(F.col("weight") * F.col("_gain")).alias("_seen"))
     return base.join(seen, [key, label], "left").select(
         key, label, (F.col("_base") + F.coalesce("_seen", F.lit(0.0))).alias("score"))
