@@ -7,11 +7,16 @@ row, so work on the corpus grows with the documents.  The same templates feed bo
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql import md5_int, q
 from corpuscope.functions import text as tx
+from corpuscope.sources.tables import read_texts
 
 # (filename, language as declared by the collection, origin, line prefix, body)
 TEMPLATES: list[tuple[str, str, str, str, str]] = [
@@ -77,6 +82,7 @@ TEMPLATES: list[tuple[str, str, str, str, str]] = [
     ("sets.py", "Python", "stackoverflow", "# ", "def merge_sort(rows):\n    # @@\n    if len(rows) < 2: return rows\n    mid = len(rows) // 2\n    left, right = rows[:mid], rows[mid:]\n    return left + right\n\nprint(merge_sort([3, 1]))  # merge sort\n"),
 ]
 T = len(TEMPLATES)
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -86,7 +92,15 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; tables of texts are spread over the cores when stored in too few row groups."""
+    path, key = f"{sf_dir}/{table}.parquet", TEXT_TABLES.get(table)
+    return read_texts(spark, path, key) if key else spark.read.parquet(path)
+
+
+def scratch(spark) -> str:
+    """A new folder in the place the cluster shares; a local one where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscope-")
+    return os.path.join(base, f"corpuscope-{uuid.uuid4().hex}")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

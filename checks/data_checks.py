@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.analysis_checks import labelled_corpus
-from checks.corpus import code_corpus, corpus_sql, read
+from checks.corpus import code_corpus, corpus_sql, read, scratch
 from checks.sql import cleaned, md5_int, q, sub
 from checks.text_checks import _source_arms, detection_sql, keyword_purpose_sql
 from corpuscope import catalog
 from corpuscope.operators import cleaning, evaluate, features, language as lang, sampling, similarity
 from corpuscope.operators.purpose import source_purpose
 from corpuscope.plans.training import collect, purpose_samples
+from corpuscope.sources.store import through_parquet
 from corpuscope.sources.labelled import language_seeds, purpose_seeds
 
 
@@ -130,21 +131,26 @@ def word_tfidf_stopped(spark, sf):
     return rows.select("doc_id", "gram", "tf", F.round("weight", 6).alias("weight"))
 
 
-def nb_scores(spark, sf):
-    """Language of the documents by naive Bayes over character 1-2-grams, trained on the hash-split rest."""
+def _weighted_documents(spark, sf):
+    """Weights of the documents with their split, written once: scores read them several times."""
     docs = sampling.hash_split(read(spark, sf, "documents"), "doc_id")
     weights = features.tfidf(docs, features.CharGrams("text", 1, 2), "doc_id", 2_000, 3, keep=["lang", "split"])
-    scores = features.naive_bayes_scores(
+    return through_parquet(weights, scratch(spark))
+
+
+def _document_scores(spark, sf):
+    weights = _weighted_documents(spark, sf)
+    return features.naive_bayes_scores(
         weights.where(F.col("split") == "train"), weights.where(F.col("split") == "test"), "doc_id", "lang")
-    return scores.select("doc_id", "lang", F.round("score", 4).alias("score"))
+
+
+def nb_scores(spark, sf):
+    """Language of the documents by naive Bayes over character 1-2-grams, trained on the hash-split rest."""
+    return _document_scores(spark, sf).select("doc_id", "lang", F.round("score", 4).alias("score"))
 
 
 def nb_predictions(spark, sf):
-    docs = sampling.hash_split(read(spark, sf, "documents"), "doc_id")
-    weights = features.tfidf(docs, features.CharGrams("text", 1, 2), "doc_id", 2_000, 3, keep=["lang", "split"])
-    scores = features.naive_bayes_scores(
-        weights.where(F.col("split") == "train"), weights.where(F.col("split") == "test"), "doc_id", "lang")
-    return features.best_label(scores, "doc_id", "lang")
+    return features.best_label(_document_scores(spark, sf), "doc_id", "lang")
 
 
 # --- evaluation ----------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are checked against."""
 
-from checks import analysis_checks, data_checks, text_checks
+from checks import analysis_checks, data_checks, io_checks, text_checks
 
-MODULES = [text_checks, analysis_checks, data_checks]
+MODULES = [text_checks, analysis_checks, data_checks, io_checks]
 
 
 def queries():

@@ -30,7 +30,7 @@ class CharGrams:
         df = pinned(df, {"_squeezed": replace_all(F.lower(F.col(self.text)), r"\s\s+", " ")})
         # an empty match at every character, with the n-gram as what lies ahead
         grams = [
-            F.regexp_extract_all("_squeezed", F.lit(rf"(?s)(?<![\x{{D800}}-\x{{DBFF}}])(?=(.{{{n}}}))"), F.lit(1))
+            F.regexp_extract_all("_squeezed", F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
             for n in range(self.low, self.high + 1)
         ]
         return df.withColumn(out, F.concat(*grams)).drop("_squeezed")
@@ -60,7 +60,9 @@ class WordGrams:
 def term_counts(df: DataFrame, grams: CharGrams | WordGrams, key: str, keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, gram, tf), clustered on the key."""
     keep = keep or []
-    placed = grams.add(df.select(key, *keep, grams.text).repartition(F.col(key)), "_grams")
+    # a stated number: the texts are small next to their n-grams, so sizing by bytes would merge too much
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = grams.add(df.select(key, *keep, grams.text).repartition(parts, key), "_grams")
     # the outer form: no size filter is derived, which would build every gram list twice
     return (
         placed.select(key, *keep, F.explode_outer("_grams").alias("gram"))

@@ -15,12 +15,19 @@ def read_labelled_csv(spark: SparkSession, path: str, label: str = "language") -
     return (
         spark.read.schema(f"content string, {label} string")
         .option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+        .option("lineSep", "\n")
         .csv(path)
     )
 
 
 def write_labelled_csv(df: DataFrame, path: str, label: str = "language") -> None:
-    df.select("content", label).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with header; blanks around a field are part of it."""
+    (
+        df.select("content", label).write.mode("overwrite")
+        .option("header", True).option("escape", '"').option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def _seeds(spark: SparkSession, table: dict[str, list[str]], label: str) -> DataFrame:

@@ -1,0 +1,21 @@
+"""Parquet tables of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a plain scan over the cores when it has fewer splits than there are cores.
+
+    Pattern matching costs far more than moving a text once, so a table stored in a few large
+    row groups would leave most cores idle.  A table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
+
+
+def read_texts(spark: SparkSession, path: str, key: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return spread(df.select(*columns) if columns else df, key)
