@@ -134,17 +134,13 @@ def function_counts(low: Column) -> tuple[Column, Column]:
 def complete_classes(samples: DataFrame, text: str = "content", purpose: str = "purpose") -> DataFrame:
     """Add one example of every absent purpose when the samples have fewer than two classes.
 
-    The gate is a one-row aggregate joined in the plan, so nothing comes to the driver.
+    The gate is a scalar subquery of the plan.
     """
     spark = samples.sparkSession
     seeds = spark.createDataFrame(
         list(catalog.MISSING_CLASS_SEEDS.items()), f"{purpose} string, {text} string"
     )
     present = samples.select(purpose).distinct()
-    gate = present.agg(F.count("*").alias("_classes"))
-    missing = (
-        seeds.join(present, purpose, "left_anti")
-        .join(F.broadcast(gate), F.col("_classes") < 2)
-        .drop("_classes")
-    )
+    classes = samples.agg(F.count_distinct(F.col(purpose)))
+    missing = seeds.join(present, purpose, "left_anti").where(classes.scalar() < 2)
     return samples.unionByName(missing, allowMissingColumns=True)

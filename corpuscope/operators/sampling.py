@@ -32,20 +32,21 @@ def with_rank(df: DataFrame, by: list[str], key: str, salt: str = "") -> DataFra
     rows before a slice, a window inside (group, slice) gives the rest.  A group with a third of
     all rows is therefore spread over SLICES window partitions.
     """
-    keyed = df.withColumn("_hash", hash_of(F.col(key), salt))
-    keyed = keyed.withColumn("_slice", F.floor(F.col("_hash") / (2**32 // SLICES)))
-    counts = keyed.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*by).orderBy("_slice")
+    groups = [f"_g{i}" for i in range(len(by))]
+    keyed = df.withColumn("_hash", hash_of(F.col(key), salt)).withColumns({
+        "_slice": F.floor(F.col("_hash") / (2**32 // SLICES)),
+        # group keys that are never NULL: a plain equality join clusters the rows as the window needs them
+        **{g: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for g, c in zip(groups, by)},
+    })
+    counts = keyed.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*groups).orderBy("_slice")
     counts = counts.withColumns({
         "_before": F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_size": F.sum("_n").over(Window.partitionBy(*by)),
+        "_size": F.sum("_n").over(Window.partitionBy(*groups)),
     }).drop("_n")
-    counts = counts.select(
-        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slice").alias("_of"), "_before", "_size")
-    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_slice") == F.col("_of")]
-    joined = keyed.join(counts, same).drop(*[f"_by{i}" for i in range(len(by))], "_of")
-    w = Window.partitionBy(*by, "_slice").orderBy("_hash", key)
-    return joined.withColumn("_rank", F.col("_before") + F.row_number().over(w)).drop("_hash", "_slice", "_before")
+    w = Window.partitionBy(*groups, "_slice").orderBy("_hash", key)
+    ranked = keyed.join(counts, [*groups, "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(w))
+    return ranked.select(*df.columns, "_rank", "_size")
 
 
 def tail_cutoff(df: DataFrame, key: str, fraction: float = 0.2) -> int | None:
