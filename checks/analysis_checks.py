@@ -307,8 +307,8 @@ KP = f"labelled AS (SELECT *, {keyword_purpose_sql('content', 'language')} AS ke
 A = f"WITH {corpus_sql()}, {KP}, {analysis_sql('labelled', 'doc_id', model=('keyword_purpose', str(STAND_IN)), keep=', filename, keyword_purpose')}"
 PY = f"WITH {corpus_sql()}, {detection_sql('corpus', 'doc_id')}, python AS (SELECT * FROM detected WHERE language = 'Python'), {logical_sql()}"
 COUNTS = f"""{IMPORTS}, {VARIABLES},
-counted AS MATERIALIZED (SELECT doc_id, sum((kind = 'def')::INT) AS functions, sum((kind = 'class')::INT) AS classes,
-   sum((kind = 'control')::INT) AS control_structures, max(last_no) AS line_count, max(indent) AS max_indent FROM logical GROUP BY doc_id),
+counted AS MATERIALIZED (SELECT doc_id, sum((kind = 'def')::INT)::BIGINT AS functions, sum((kind = 'class')::INT)::BIGINT AS classes,
+   sum((kind = 'control')::INT)::BIGINT AS control_structures, max(last_no) AS line_count, max(indent) AS max_indent FROM logical GROUP BY doc_id),
 ni AS (SELECT doc_id, count(*) AS imports FROM imports GROUP BY doc_id), nv AS (SELECT doc_id, count(*) AS variables FROM variables GROUP BY doc_id),
 complexity AS MATERIALIZED (SELECT d.doc_id, d.language, coalesce(functions, 0) AS functions, coalesce(classes, 0) AS classes, coalesce(imports, 0) AS imports,
    coalesce(variables, 0) AS variables, coalesce(control_structures, 0) AS control_structures, coalesce(line_count, 0) AS line_count,
@@ -348,6 +348,6 @@ ORACLES = {
     "complexity": f"{PY}, {COUNTS} SELECT * FROM complexity",
     "basic_structure": f"SELECT page_id, {split_lines('html')} AS line_count, length(html) AS character_count FROM pages",
     "import_frequency": f"{PY}, {IMPORTS} SELECT split_part(name, '.', 1) AS module, count(*) AS imports, count(DISTINCT doc_id) AS texts FROM imports GROUP BY 1",
-    "complexity_by_language": f"{PY}, {COUNTS} SELECT language, count(*) AS texts, sum(functions) AS functions, sum(classes) AS classes, "
+    "complexity_by_language": f"{PY}, {COUNTS} SELECT language, count(*) AS texts, sum(functions)::BIGINT AS functions, sum(classes)::BIGINT AS classes, "
                               "round(avg(cyclomatic_complexity), 6) AS mean_complexity, max(cyclomatic_complexity) AS max_complexity FROM complexity GROUP BY ROLLUP(language)",
 }

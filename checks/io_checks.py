@@ -151,7 +151,7 @@ ORACLES = {
     "partitioned_store": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples",
     "partitioned_store_one_language": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples WHERE language = 'C/C++'",
     "labelled_csv": f"{S} SELECT language, md5(content) AS digest, count(*) AS n FROM samples GROUP BY ALL",
-    "stage_hand_over": f"{S}, {_P} SELECT language, variant, count(*) AS n, sum(length(content)) AS chars FROM augmented GROUP BY ALL",
+    "stage_hand_over": f"{S}, {_P} SELECT language, variant, count(*) AS n, sum(length(content))::BIGINT AS chars FROM augmented GROUP BY ALL",
     "json_report": "SELECT doc_id, filename, language, error, final_language, type, confidence FROM (" + ANALYSIS["report"] + ")",
     "file_scan": f"WITH {corpus_sql()} SELECT md5(content || chr(0)) AS digest, 'txt' AS extension, count(*) AS n FROM corpus GROUP BY ALL",
     # the text writer ends every file with its separator

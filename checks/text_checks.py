@@ -370,5 +370,5 @@ ORACLES = {
     "missing_class": f"WITH {C}, s(purpose, content) AS (VALUES {_seed_rows}), r AS (SELECT 'Other' AS purpose, content FROM corpus), "
                      "a AS (SELECT * FROM r UNION ALL SELECT * FROM s WHERE purpose NOT IN (SELECT purpose FROM r) "
                      "AND (SELECT count(DISTINCT purpose) FROM r) < 2) "
-                     "SELECT purpose, count(*) AS samples, sum(length(content)) AS chars FROM a GROUP BY purpose",
+                     "SELECT purpose, count(*) AS samples, sum(length(content))::BIGINT AS chars FROM a GROUP BY purpose",
 }
