@@ -1,8 +1,8 @@
 """Queries over the given tables, one for each operator, and their SQL."""
 
-from corpuscope.llm import chat_queries, decontaminate_queries, packing_queries
+from corpuscope.llm import chat_queries, decontaminate_queries, ngram_join_queries, packing_queries
 
-MODULES = [decontaminate_queries, packing_queries, chat_queries]
+MODULES = [decontaminate_queries, packing_queries, chat_queries, ngram_join_queries]
 
 
 def queries():
