@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
-from corpuscope.llm.shingles import WORDS, shingle_sets
+from corpuscope.llm.shingles import WORDS, over_sets
 from corpuscope.sources.shared import stored
 
 THRESHOLD = 80  # per cent
@@ -40,17 +40,16 @@ def _collisions_to(n_a: Column, n_b: Column) -> Column:
     return F.ceil(THRESHOLD * (n_a + n_b) / (100 + THRESHOLD))
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
+def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many n-grams fall into each bucket, over all sets.  The result has a fixed size."""
     import pyarrow as pa
 
     width = (1 << BUCKET_BITS) // PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(sets) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int32)
-        for batch in batches:
-            tokens = _flat(batch.column(0))
-            total += np.bincount((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+        for _, _, some in sets:
+            total += np.bincount((np.concatenate(some) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PARTS, width)], pa.binary())],
             names=["part", "counts"])
@@ -59,7 +58,7 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = sets.select("tokens").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(
+    rows = over_sets(docs, count, "part int, counts binary", words).groupBy("part").applyInArrow(
         add, "part int, counts binary").collect()  # PARTS rows of fixed size
     out = np.zeros((PARTS, width), np.int64)
     for r in rows:
@@ -67,15 +66,7 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _flat(column) -> np.ndarray:
-    """All numbers of an Arrow column of packed 64-bit numbers."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)
-    data = column.buffers()[2]
-    low, high = offsets[column.offset], offsets[column.offset + len(column)]
-    return np.frombuffer(data, np.uint8)[low:high].view(np.uint64) if data and high > low else np.empty(0, np.uint64)
-
-
-def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     """token, salt, node, n, pos: the prefix of each set, rare n-grams first.
 
     The buckets' counts bound how many sets have an n-gram, so one that many may have is salted and
@@ -83,42 +74,28 @@ def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     """
     import pyarrow as pa
 
-    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
     hot = max(HOT, 8 * int(counts.mean()))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(sets) -> Iterator[pa.RecordBatch]:
         counts = sent.value
-        for batch in batches:
-            nodes, sizes = (batch.column(i).to_numpy() for i in (0, 1))
-            flat, at = _flat(batch.column(2)), 0
-            held, rows = [], 0
-            for node, n in zip(nodes.tolist(), sizes.tolist()):
-                tokens = flat[at:at + n]
-                at += n
-                often = counts[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                keep = n - (THRESHOLD * n + 99) // 100 + 1 if n else 0
-                first = np.argsort(often, kind="stable")[:keep]
-                held.append((tokens[first], node, n, often[first] // hot))
-                rows += len(first)
-                if rows >= 50_000:
-                    yield record(held)
-                    held, rows = [], 0
-            if held:
-                yield record(held)
-
-    def record(held):
-        size = [len(x) for x, *_ in held]
-        node = np.repeat(np.array([h[1] for h in held], np.int64), size)
-        often = np.concatenate([h[3] for h in held])
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([h[0] for h in held]).view(np.int64)),
-            pa.array(np.where(often > 0, node % np.maximum(often + 1, 1), 0).astype(np.int32)), pa.array(node),
-            pa.array(np.repeat(np.array([h[2] for h in held], np.int32), size)),
-            pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in size]))],
-            names=["token", "salt", "node", "n", "pos"])
-
-    return sets.where("n > 0").select("node", "n", "tokens").mapInArrow(
-        cut, "token long, salt int, node long, n int, pos int")
+        for _, nodes, some in sets:
+            held = [(node, s, counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
+                    for node, s in zip(nodes, some) if len(s)]
+            if not held:
+                continue
+            firsts = [np.argsort(often, kind="stable")[: len(s) - (THRESHOLD * len(s) + 99) // 100 + 1] for _, s, often in held]
+            size = [len(x) for x in firsts]
+            node = np.repeat(np.array([h[0] for h in held]), size)
+            salts = np.concatenate([h[2][x] for h, x in zip(held, firsts)]) // hot + 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([h[1][x] for h, x in zip(held, firsts)]).view(np.int64)),
+                pa.array(np.where(salts > 1, 1 + node % salts, 0).astype(np.int32)), pa.array(node),
+                pa.array(np.repeat(np.array([len(h[1]) for h in held], np.int32), size)),
+                pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))],
+                names=["token", "salt", "node", "n", "pos"])
+
+    return over_sets(docs, cut, "token long, salt int, node long, n int, pos int", words)
 
 
 def _may(a: str, b: str) -> Column:
@@ -147,21 +124,23 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
     found = rows.toPandas()
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
 
 
-def sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, tokens of the given nodes, once each; a fixed-size filter keeps the others from moving."""
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, tokens of the given nodes, once each; a fixed-size filter keeps the others from moving."""
     import pyarrow as pa
 
-    sent = sets.sparkSession.sparkContext.broadcast(np.packbits(_sketch(nodes), bitorder="little"))
+    sent = docs.sparkSession.sparkContext.broadcast(_sketch(nodes))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            yield batch.filter(pa.array((sent.value[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+    def sift(sets) -> Iterator[pa.RecordBatch]:
+        for _, named, some in sets:
+            slot = (named.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            keep = np.flatnonzero(sent.value[slot >> 3] >> (slot & 7) & 1)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(named[keep]), pa.array([some[i].tobytes() for i in keep], pa.binary())], names=["node", "tokens"])
 
-    few = sets.where("n > 0").select("node", "n", "tokens").mapInArrow(sift, "node long, n int, tokens binary")
+    few = over_sets(docs, sift, "node long, tokens binary", words)
     return few.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -275,6 +254,14 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, known: DataFrame) -> DataFr
             .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
 
 
+def _named(sets):
+    import pyarrow as pa
+
+    for ids, nodes, some in sets:
+        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(s) for s in some], pa.int64())],
+                                         names=["doc_id", "node", "n_shingles"])
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each row of ``docs``.
 
@@ -284,15 +271,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doc_id counts only where no other is in the component; other columns are left aside; an empty
     table gives no rows.  Hash collisions are those of 64 bits.
     """
-    sets = shingle_sets(docs, words)
-    shared = stored(shared_prefixes(prefixes(sets, bucket_counts(sets))), "shared")
-    tokens = stored(sets_of(sets, shared.select("node").distinct()), "sets")
+    shared = stored(shared_prefixes(prefixes(docs, bucket_counts(docs, words), words)), "shared")
+    tokens = stored(sets_of(docs, shared.select("node").distinct(), words), "sets")
     stars = stored(star_pairs(shared), "pairs")
     first = stored(verified(stars, tokens), "links")
     roots = components(first)
     more = stored(verified(stored(cross_pairs(shared, roots, stars), "pairs"), tokens), "links")
     roots = components(first.unionByName(more))
-    rows = stored(sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")), "nodes")
+    rows = stored(over_sets(docs, _named, "doc_id long, node long, n_shingles long", words), "nodes")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.where("n_shingles > 0").join(least, "root").select(

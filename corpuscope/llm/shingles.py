@@ -18,6 +18,8 @@ _LETTER = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)  # one 64-
 _LETTER[65:91] = _LETTER[97:123]  # A to Z like a to z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_OTHER = np.ones(256, bool)  # separators of plain words: all but ASCII letters and digits and bytes beyond ASCII
+_OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -50,16 +52,17 @@ def text_chunks(column, most_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         row = until
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words, how many words lie before each row, and where each word starts.
 
-    Words are separated by blanks (0x20, 0x09 to 0x0D); A to Z count as a to z.  A word's hash is a
+    Words are separated by blanks (0x20, 0x09 to 0x0D), with ``plain`` by any ASCII character but
+    letters and digits; A to Z count as a to z.  A word's hash is a
     polynomial in its bytes' numbers, read off two running sums.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64)
-    blank = _SPACE[data]
+    blank = (_OTHER if plain else _SPACE)[data]
     opens = ~blank
     opens[1:] &= blank[:-1]
     begins = offsets[:-1][offsets[:-1] < n]
@@ -92,39 +95,36 @@ def _combined(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def shingles_of(column, words: int = WORDS) -> Iterator[np.ndarray]:
-    """Of each text the sorted distinct hashes of its runs of ``words`` words, or of all its words."""
-    for _, data, offsets in text_chunks(column):
+def shingles_of(column, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of some texts at a time: of each the sorted distinct hashes of its runs of
+    ``words`` words, or of all its words together if there are fewer."""
+    for row, data, offsets in text_chunks(column):
         h, at, _ = word_hashes(data, offsets)
         runs = _combined(h, words) if len(h) >= words else h[:0]
+        sets = []
         for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
             if high - low >= words:
                 s = np.sort(runs[low:high - words + 1])
                 keep = np.empty(len(s), bool)
                 keep[0] = True
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
-                yield s[keep]
+                sets.append(s[keep])
             else:
-                yield _combined(h[low:high], high - low) if high > low else h[:0]
+                sets.append(_combined(h[low:high], high - low) if high > low else h[:0])
+        yield row, sets
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node, n, tokens: node names the set (texts with equal sets share it), tokens its hashes.
+def over_sets(docs: DataFrame, work, schema: str, words: int = WORDS) -> DataFrame:
+    """``work`` on the shingle sets of all texts, in the task that reads them.
 
-    tokens are little-endian unsigned 64-bit numbers in ascending order.  Texts without words have
-    n = 0, node = 0.  Two different sets share a node, or two shingles a hash, with the odds of a
-    64-bit hash.
+    ``work`` gets an iterator of (doc ids as an Arrow array, nodes, sets) and yields record batches.
+    A node names a set: texts with equal sets share it; without words it is 0.  Two different sets
+    share a node, or two shingles a hash, with the odds of a 64-bit hash.
     """
-    import pyarrow as pa
-
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingles_of(batch.column(1), words)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s) if s else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(nodes), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())],
-                schema=schema)
+            for row, sets in shingles_of(batch.column(1), words):
+                nodes = np.array([xxhash.xxh3_64_intdigest(s.data) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                yield batch.column(0)[row:row + len(sets)], nodes, sets
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, node long, n int, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: work(hashed(batches)), schema)
