@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
     """A new folder below ``spark.checkpoint.dir``.
@@ -24,7 +26,15 @@ def shared_folder(spark: SparkSession, name: str = "table") -> str:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written once as Parquet and read back: lineage ends here."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written once as Parquet and read back: lineage ends here.
+
+    What the job shuffled is removed when it ends, since nothing reads it again.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
