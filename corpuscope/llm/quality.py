@@ -28,6 +28,7 @@ LEAST_Z = 4.5
 TARGETS = ("quality", "clean")
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "bang": [33], "bar": [124], "sign": [*b"#$%&*<>=@^_~\\{}[]"], "stop": [*b".,;:?"],
             "line": [10]}
+STYLES = len(_CLASSES) + 3
 _CLASS_OF = np.zeros((len(_CLASSES), 256), np.int64)
 for _i, _bytes in enumerate(_CLASSES.values()):
     _CLASS_OF[_i, list(_bytes)] = 1
@@ -52,14 +53,16 @@ class Model:
         return np.concatenate(out, 1) if out else np.zeros((len(self.weights), 0))
 
 
-def style_of(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Shares of character classes per byte, words per byte, and whether a text is short."""
+def style_of(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shares of character classes and words per byte and of words like the one before, and whether a text is short."""
     size = np.maximum(np.diff(offsets), 1)
     rows = []
     for table in _CLASS_OF:
         total = np.r_[0, np.cumsum(table[data])]
         rows.append(np.sqrt((total[offsets[1:]] - total[offsets[:-1]]) / size))
     rows.append(np.sqrt(np.diff(at) / size))
+    again = np.r_[0, np.cumsum(np.r_[False, h[1:] == h[:-1]][: len(h)])]
+    rows.append(np.sqrt((again[at[1:]] - again[at[:-1]]) / np.maximum(np.diff(at), 1)))
     rows.append((np.diff(offsets) < 40).astype(float))
     return np.stack(rows, 1)
 
@@ -75,7 +78,7 @@ def features(column, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
         near, place = (x[words[place] == h[near]] for x in (near, place)) if len(words) else (near, place)
         row = np.searchsorted(at, near, "right") - 1
         pair = np.unique(row * max(len(words), 1) + place)
-        yield style_of(data, offsets, at), pair // max(len(words), 1), pair % max(len(words), 1)
+        yield style_of(data, offsets, h, at), pair // max(len(words), 1), pair % max(len(words), 1)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -95,7 +98,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
             for _, data, offsets in text_chunks(batch.column(1)):
                 h, at, _ = word_hashes(data, offsets, plain=True)
                 words += [np.unique(h[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:])]
-                style += list(style_of(data, offsets, at))
+                style += list(style_of(data, offsets, h, at))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.int64())), pa.array(style, pa.list_(pa.float64()))],
                 names=["doc_id", "targets", "words", "style"])
@@ -104,7 +107,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         describe, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, targets array<boolean>, words array<long>, style array<double>")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights by Newton's steps; the first is the constant."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
@@ -137,11 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     words = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
     known = F.array_intersect("words", F.array(*[F.lit(w) for w in words.view(np.int64).tolist()]).cast("array<bigint>"))
     sample = rows.select("doc_id", "targets", "style", known.alias("words")).orderBy("doc_id").collect()
-    width = len(_CLASSES) + 2 + len(words)
+    width = STYLES + len(words)
     x = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
-        x[i, : len(_CLASSES) + 2] = r["style"]
-        x[i, len(_CLASSES) + 2 + np.searchsorted(words, np.array(r["words"], np.int64).view(np.uint64))] = 1
+        x[i, : STYLES] = r["style"]
+        x[i, STYLES + np.searchsorted(words, np.array(r["words"], np.int64).view(np.uint64))] = 1
     weights = np.zeros((len(TARGETS), width + 1))
     for k in range(len(TARGETS)):
         y = np.array([r["targets"][k] for r in sample], float)
