@@ -254,6 +254,12 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, known: DataFrame) -> DataFr
             .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
 
 
+def _links(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs that reach the threshold; only sets of nodes in a pair are moved."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return stored(verified(pairs, stored(sets_of(docs, nodes, words), "sets")), "links")
+
+
 def _named(sets):
     import pyarrow as pa
 
@@ -272,12 +278,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     table gives no rows.  Hash collisions are those of 64 bits.
     """
     shared = stored(shared_prefixes(prefixes(docs, bucket_counts(docs, words), words)), "shared")
-    tokens = stored(sets_of(docs, shared.select("node").distinct(), words), "sets")
     stars = stored(star_pairs(shared), "pairs")
-    first = stored(verified(stars, tokens), "links")
-    roots = components(first)
-    more = stored(verified(stored(cross_pairs(shared, roots, stars), "pairs"), tokens), "links")
-    roots = components(first.unionByName(more))
+    first = _links(docs, stars, words)
+    crossing = stored(cross_pairs(shared, components(first), stars), "pairs")
+    roots = components(first.unionByName(_links(docs, crossing, words)))
     rows = stored(over_sets(docs, _named, "doc_id long, node long, n_shingles long", words), "nodes")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
