@@ -1,8 +1,14 @@
 """Queries over the given tables, one for each operator, and their SQL."""
 
-from corpuscope.llm import chat_queries, decontaminate_queries, ngram_join_queries, packing_queries
+from corpuscope.llm import (
+    chat_queries, decontaminate_queries, ngram_join_queries, packing_queries, pii_queries, quality_queries, reshard_queries,
+    topk_queries,
+)
 
-MODULES = [decontaminate_queries, packing_queries, chat_queries, ngram_join_queries]
+MODULES = [
+    pii_queries, quality_queries, decontaminate_queries, packing_queries, reshard_queries, topk_queries, chat_queries,
+    ngram_join_queries,
+]
 
 
 def queries():
