@@ -38,6 +38,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base of all word hashes, and of its inverse."""
+    return _POWERS.get(n)
+
+
 def text_chunks(column, most_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of an Arrow string column, some rows at a time; NULL is empty."""
     import pyarrow as pa
