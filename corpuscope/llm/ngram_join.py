@@ -2,95 +2,101 @@
 
 Texts with equal sets are one node.  Two sets with Jaccard J >= t share one of the first
 n - ceil(t n) + 1 n-grams of each, in any order that is the same for all sets; here rare n-grams
-come first, so that passages many texts share lie behind that prefix.  Prefix n-grams that two
-nodes share bring nodes together; how much of both sets can still follow bounds the overlap.
-
-Candidates meet in cells of one node and some of its partners.  A cell stores its sets in a prefix
-tree (sets in ascending order, each with the depth it shares with the one before), walks it with
-the cell's node, keeps the overlap along the shared path, and leaves a subtree as soon as the
-lengths that remain cannot reach the threshold.
-
-Groups of near copies would give all their pairs.  So each n-gram first links its nodes to one of
-them, components of those links are built, and only pairs of nodes in different components follow;
-a pair inside one component cannot change it.
+come first, so that passages many texts share lie behind that prefix.  N-grams of prefixes that at
+least two nodes have bring nodes together.
+
+Nodes are put into blocks by the n-gram most others share with them, so a group of near copies is a
+few blocks, not all its pairs.  Blocks with a common n-gram, whose lengths and positions can still
+reach the threshold, meet in a cell.  A cell stores one block's sets in a prefix tree (in order,
+each taking over what it shares with the one before) and walks it with all sets of the other block
+at once: overlaps along a shared path are counted once, and a subtree is left when the lengths that
+remain cannot bring any set to the threshold.  A cell returns links that join its nodes, no more
+than it has nodes; connected components of all links are the groups.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.llm import sketch
 from corpuscope.llm.components import components
 from corpuscope.llm.shingles import WORDS, over_sets
 from corpuscope.sources.shared import stored
 
 THRESHOLD = 80  # per cent
-BUCKET_BITS = 19  # n-grams are counted in 2^19 buckets; the counts, 4 MB, are broadcast
+BUCKET_BITS = 22  # n-grams are counted in 2^22 buckets; one byte for each, 4 MB, is broadcast
 PARTS = 64
-FILTER_BITS = 26  # 8 MB, broadcast
 HOT = 50_000
-CELL = 64
+BLOCK = 128
 
 
-def _collisions_to(n_a: Column, n_b: Column) -> Column:
-    """The smallest overlap with 100 * overlap >= THRESHOLD * union."""
-    return F.ceil(THRESHOLD * (n_a + n_b) / (100 + THRESHOLD))
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many n-grams fall into each bucket, over all sets.  The result has a fixed size."""
-    import pyarrow as pa
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of all tasks' counts, summed batch by batch, as eighths of a doubling."""
+    part, total = None, 0
+    for batch in batches:
+        part = batch.column(0)[0].as_py()
+        for x in batch.column(1):
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.uint16).astype(np.int64)
+    level = np.minimum(np.rint(8 * np.log2(total + 1.0)), 255).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "counts"])
 
-    width = (1 << BUCKET_BITS) // PARTS
 
+def bucket_levels(docs: DataFrame, words: int) -> np.ndarray:
+    """How often the n-grams of each bucket occur in sets, over all texts; the result has a fixed size.
+
+    Only the order of n-grams follows from it, so it need not be exact: a task's count of a bucket
+    stops at 65535, and counts are kept as eighths of a doubling.
+    """
     def count(sets) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int32)
         for _, _, some in sets:
-            total += np.bincount((np.concatenate(some) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+            bucket, n = np.unique(_bucket(np.concatenate(some)), return_counts=True)
+            total[bucket] += n.astype(np.int32)
+        parts = np.minimum(total, 65535).astype(np.uint16).reshape(PARTS, -1)
         yield pa.RecordBatch.from_arrays([
-            pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PARTS, width)], pa.binary())],
-            names=["part", "counts"])
-
-    def add(table):
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "counts"])
 
     rows = over_sets(docs, count, "part int, counts binary", words).groupBy("part").applyInArrow(
-        add, "part int, counts binary").collect()  # PARTS rows of fixed size
-    out = np.zeros((PARTS, width), np.int64)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+        _sum, "part int, counts binary").collect()  # PARTS rows of fixed size
+    if not rows:
+        return np.zeros(1 << BUCKET_BITS, np.uint8)
+    return np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in sorted(rows)])
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
+def prefixes(docs: DataFrame, levels: np.ndarray, words: int) -> DataFrame:
     """token, salt, node, n, pos: the prefix of each set, rare n-grams first.
 
-    The buckets' counts bound how many sets have an n-gram, so one that many may have is salted and
-    no (token, salt) has more than a few times HOT rows, or than a bucket holds on average.
+    A bucket's level bounds how many sets have an n-gram, so one that many may have is salted, and
+    a (token, salt) has about HOT rows at most, or eight times what a bucket holds on average.
     """
-    import pyarrow as pa
-
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    hot = max(HOT, 8 * int(counts.mean()))
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+    counts = 2 ** (np.arange(256) / 8) - 1
+    hot = max(HOT, 8 * float(counts[levels].mean()))
+    salts = (counts // hot).astype(np.int64) + 1
 
     def cut(sets) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        levels = sent.value
         for _, nodes, some in sets:
-            held = [(node, s, counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
-                    for node, s in zip(nodes, some) if len(s)]
+            held = [(node, s, levels[_bucket(s)]) for node, s in zip(nodes, some) if len(s)]
             if not held:
                 continue
-            firsts = [np.argsort(often, kind="stable")[: len(s) - (THRESHOLD * len(s) + 99) // 100 + 1] for _, s, often in held]
+            firsts = [np.argsort(level, kind="stable")[: len(s) - (THRESHOLD * len(s) + 99) // 100 + 1] for _, s, level in held]
             size = [len(x) for x in firsts]
             node = np.repeat(np.array([h[0] for h in held]), size)
-            salts = np.concatenate([h[2][x] for h, x in zip(held, firsts)]) // hot + 1
+            salt = salts[np.concatenate([h[2][x] for h, x in zip(held, firsts)])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([h[1][x] for h, x in zip(held, firsts)]).view(np.int64)),
-                pa.array(np.where(salts > 1, 1 + node % salts, 0).astype(np.int32)), pa.array(node),
+                pa.array(np.where(salt > 1, 1 + node % salt, 0).astype(np.int32)), pa.array(node),
                 pa.array(np.repeat(np.array([len(h[1]) for h in held], np.int32), size)),
                 pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size]))],
                 names=["token", "salt", "node", "n", "pos"])
@@ -98,45 +104,53 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     return over_sets(docs, cut, "token long, salt int, node long, n int, pos int", words)
 
 
-def _may(a: str, b: str) -> Column:
-    """Whether two sets can still reach the threshold if their first common n-gram is this one."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n_a - F.col(f"{a}.pos"), n_b - F.col(f"{b}.pos"))
-    return rest >= _collisions_to(n_a, n_b)
-
-
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Prefix rows of n-grams that at least two nodes have, each with a pivot of like size."""
-    me = F.struct("node", "n", "pos")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / THRESHOLD))).cast("int")
+    """token, node, n, pos, others, hub: prefix rows of n-grams that at least two nodes may have.
+
+    ``others`` is how many rows have the n-gram, ``hub`` the smallest of its nodes of like size.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / THRESHOLD)))).cast("int")
     like, group = Window.partitionBy("token", "salt", "band"), Window.partitionBy("token", "salt")
     return (rows.withColumn("band", band)
-            .withColumn("pivot", F.min(me).over(like))
+            .withColumn("hub", F.min("node").over(like)).withColumn("others", F.count("*").over(group))
             .withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-            .where("low < high OR salt > 0").drop("low", "high", "band"))
+            .where("low < high OR salt > 0").select("token", "node", "n", "pos", "others", "hub"))
+
+
+def blocks_of(shared: DataFrame) -> DataFrame:
+    """node, block: nodes under the hub of the n-gram that most share with them, BLOCK or so to a block."""
+    hubs = shared.groupBy("node").agg(F.max(F.struct("others", "hub"))["hub"].alias("hub"))
+    sizes = hubs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
 
 
-def _sketch(nodes: DataFrame) -> np.ndarray:
-    """A bit for each value of a node's first FILTER_BITS bits: fixed size, only ever lets too much pass."""
-    word = F.shiftrightunsigned("node", 64 - FILTER_BITS + 6)
-    bit = F.shiftrightunsigned("node", 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
-    rows = nodes.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    found = rows.toPandas()
-    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+def cells_of(shared: DataFrame, blocks: DataFrame) -> DataFrame:
+    """x, y: blocks (x <= y) that a common n-gram brings together and that may have a link.
+
+    The sum of what two blocks' sets can still share must reach what their shortest sets ask for.
+    """
+    rows = shared.join(blocks, "node")
+    sides = stored(rows.groupBy("token", "block").agg(
+        F.count("*").alias("nodes"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.col("n") - F.col("pos")).alias("rest")), "sides")
+    t = THRESHOLD / 100
+    a, b = sides.alias("a"), sides.alias("b")
+    n_a, n_b = F.greatest(F.col("a.least"), t * F.col("b.least")), F.greatest(F.col("b.least"), t * F.col("a.least"))
+    may = ((F.col("a.most") >= t * F.col("b.least")) & (F.col("b.most") >= t * F.col("a.least"))
+           & (F.least("a.rest", "b.rest") >= THRESHOLD * (n_a + n_b) / (100 + THRESHOLD) - 1e-6))
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & may).select(
+        F.col("a.block").alias("x"), F.col("b.block").alias("y"))
+    inside = sides.where("nodes > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
+    return across.unionByName(inside).distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, tokens of the given nodes, once each; a fixed-size filter keeps the others from moving."""
-    import pyarrow as pa
-
-    sent = docs.sparkSession.sparkContext.broadcast(_sketch(nodes))
+    sent = docs.sparkSession.sparkContext.broadcast(sketch.key_filter(nodes, "node"))
 
     def sift(sets) -> Iterator[pa.RecordBatch]:
         for _, named, some in sets:
-            slot = (named.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            keep = np.flatnonzero(sent.value[slot >> 3] >> (slot & 7) & 1)
+            keep = np.flatnonzero(sketch.may_have(sent.value, named))
             yield pa.RecordBatch.from_arrays([
                 pa.array(named[keep]), pa.array([some[i].tobytes() for i in keep], pa.binary())], names=["node", "tokens"])
 
@@ -144,125 +158,109 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return few.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def overlaps(x: np.ndarray, sets: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-    """(node, overlap) of the sets that reach the threshold with ``x``.
+def tree_links(ours: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(i, j) with ours[i] and theirs[j] at the threshold or above.
 
-    ``sets`` are stored in a prefix tree: in order, each with its depth in common with the one
-    before.  Along that depth the running overlap is taken over; ``dead`` is the depth at which
-    what remains was too little, so sets that share it are left without a look, if they are not
-    too different in length for that.
+    ``theirs`` is walked as a prefix tree: in order, a set goes on from the depth it has in common
+    with the one before, with the overlaps counted up to there.  At some depths the overlaps and the
+    remaining length are compared with what each of ``ours`` asks for; if none can get there, the
+    subtree is left, also for later sets that come through that depth and are no longer.
     """
-    sets = sorted(((node, s) for node, s in sets), key=lambda e: e[1].astype(">u8").tobytes())
-    path, running, dead = np.empty(0, np.uint64), np.zeros(1, np.int64), None
-    for node, s in sets:
-        least = -(-THRESHOLD * (len(x) + len(s)) // (100 + THRESHOLD))
-        m = min(len(path), len(s))
-        differ = np.flatnonzero(path[:m] != s[:m])
+    sizes = np.array([len(s) for s in ours])
+    known = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
+    if not len(known):
+        return
+    has = np.zeros((len(known) + 1, len(ours)), np.int32)  # the last row is for n-grams that only one side has
+    for i, s in enumerate(ours):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        has[at[known[at] == s], i] = 1
+    order = sorted(range(len(theirs)), key=lambda j: theirs[j].astype(">u8").tobytes())
+    before, path, dead = np.empty(0, np.uint64), [(0, np.zeros(len(ours), np.int64))], None
+    for j in order:
+        s = theirs[j]
+        least = -(-THRESHOLD * (sizes + len(s)) // (100 + THRESHOLD))
+        m = min(len(before), len(s))
+        differ = np.flatnonzero(before[:m] != s[:m])
         shared = int(differ[0]) if differ.size else m
-        if dead is not None and shared >= dead[0]:
-            depth, seen, passed = dead
-            if seen + min(len(x) - passed, len(s) - depth) < least:
-                continue
-        shared = min(shared, len(running) - 1)
-        rest = s[shared:]
-        place = np.searchsorted(x, rest)
-        inside = place < len(x)
-        hit = np.zeros(len(rest), bool)
-        hit[inside] = x[place[inside]] == rest[inside]
-        path, running = s, np.r_[running[: shared + 1], running[shared] + np.cumsum(hit)]
-        # after each n-gram: what may still come of the set, and of x beyond the n-gram's place
-        passed = place + hit
-        bound = running[shared + 1:] + np.minimum(len(x) - passed, len(s) - shared - 1 - np.arange(len(rest)))
-        low = np.flatnonzero(bound < least)
+        before = s
+        while path[-1][0] > shared:
+            path.pop()
+        if dead and dead[0] <= shared and len(s) <= dead[1] and len(s) >= dead[2]:
+            continue
         dead = None
-        if low.size:
-            k = int(low[0])
-            dead = (shared + k + 1, int(running[shared + k + 1]), int(passed[k]))
-            running = running[: shared + k + 2]  # what lies deeper was not walked
-        elif running[-1] >= least:
-            yield node, int(running[-1])
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, overlap: the pairs that reach the threshold.
-
-    A cell is a node and about CELL of its partners, so a node with very many has many cells.
-    """
-    import pyarrow as pa
-
-    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    celled = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), "cells").alias("cell"))
-    heads = celled.select("a", "cell").distinct().join(sets, F.col("a") == F.col("node")).select(
-        "a", "cell", F.lit(0).alias("role"), "node", "tokens")
-    others = celled.join(sets, F.col("b") == F.col("node")).select("a", "cell", F.lit(1).alias("role"), "node", "tokens")
-    rows = heads.unionByName(others).repartition("a", "cell").sortWithinPartitions("a", "cell", "role")
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        row = np.where(known[at] == s, at, len(known))
+        depth, overlap = path[-1]
+        step = max(8, len(s) // 8)
+        while depth < len(s):
+            until = min(depth + step, len(s))
+            overlap = overlap + has[row[depth:until]].sum(0)
+            depth = until
+            path.append((depth, overlap))
+            if not (overlap + (len(s) - depth) >= least).any():
+                # a shorter set has less to come but asks for less; equal lengths are safe
+                dead = (depth, len(s), len(s))
+                break
+        else:
+            for i in np.flatnonzero(overlap >= least):
+                yield int(i), j
+
+
+def _joined(nodes: list[int], links: Iterator[tuple[int, int]], root: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links that join two nodes not joined yet."""
+    def top(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def links_of(cells: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect what the cells' nodes connect; no more per cell than it has nodes."""
+    held = blocks.join(sets, "node")
+    first = cells.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), "node", "tokens")
+    second = cells.where("x < y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), "node", "tokens")
+    rows = first.unionByName(second).repartition("x", "y").sortWithinPartitions("x", "y", "side")
+
+    def links(sides) -> list[tuple[int, int]]:
+        (names, sets), (others, more) = sides
+        if not sets or not (more or len(sets) > 1):
+            return []
+        if not more:
+            others, more = names, sets
+        found, root = [], {}
+        for at in range(0, len(sets), BLOCK):
+            pairs = ((names[at + i], others[j]) for i, j in tree_links(sets[at:at + BLOCK], more) if names[at + i] != others[j])
+            found += _joined(names, pairs, root)
+        return found
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, x, held = None, None, []
+        key, sides = None, (([], []), ([], []))
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            a, cell, role, node = (batch.column(i).to_numpy().tolist() for i in range(4))
+            out: list[tuple[int, int]] = []
+            x, y, side, node = (batch.column(i).to_pylist() for i in range(4))
             for i, tokens in enumerate(batch.column(4)):
-                s = np.frombuffer(tokens.as_py(), np.uint64)
-                if (a[i], cell[i]) != key:
-                    out += [(key[0], *f) for f in overlaps(x, held)] if key else []
-                    key, x, held = (a[i], cell[i]), None, []
-                if role[i] == 0:
-                    x = s
-                else:
-                    held.append((node[i], s))
+                if (x[i], y[i]) != key:
+                    out += links(sides)
+                    key, sides = (x[i], y[i]), (([], []), ([], []))
+                sides[side[i]][0].append(node[i])
+                sides[side[i]][1].append(np.frombuffer(tokens.as_py(), np.uint64))
             yield record(out)
-        yield record([(key[0], *f) for f in overlaps(x, held)] if key else [])
+        yield record(links(sides))
 
     def record(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "overlap"])
-
-    return rows.mapInArrow(walk, "a long, b long, overlap long")
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """Each node with the pivot of its n-gram, where they can reach the threshold."""
-    pairs = shared.select(
-        F.col("pivot").alias("x"), F.struct("node", "n", "pos").alias("y")).where("x.node <> y.node").where(_may("x", "y"))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def cross_pairs(shared: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs of nodes in different components that an n-gram brings together and that may link.
-
-    Components meet first, with the bounds of all their nodes; nodes only where components may link.
-    """
-    rows = shared.join(roots, "node", "left").select(
-        "token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rows = stored(rows.join(mixed.select("token"), "token", "left_semi"), "mixed")
-    sides = rows.groupBy("token", "root").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    a, b = sides.alias("a"), sides.alias("b")
-    # the smallest sizes ask for the least overlap
-    may = F.least("a.rest", "b.rest") >= _collisions_to(
-        F.greatest(F.col("a.least"), THRESHOLD * F.col("b.least") / 100),
-        F.greatest(F.col("b.least"), THRESHOLD * F.col("a.least") / 100))
-    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & may
-                  & (F.col("a.least") * THRESHOLD <= F.col("b.most") * 100)
-                  & (F.col("b.least") * THRESHOLD <= F.col("a.most") * 100)).select(
-        F.col("a.token").alias("token"), F.col("a.root").alias("root_x"), F.col("b.root").alias("root_y"))
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = (meet.join(x, (meet["token"] == F.col("x.token")) & (meet["root_x"] == F.col("x.root")))
-             .join(y, (meet["token"] == F.col("y.token")) & (meet["root_y"] == F.col("y.root")) & _may("x", "y")))
-    return (pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-
-
-def _links(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs that reach the threshold; only sets of nodes in a pair are moved."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return stored(verified(pairs, stored(sets_of(docs, nodes, words), "sets")), "links")
+    return rows.mapInArrow(walk, "a long, b long")
 
 
 def _named(sets):
-    import pyarrow as pa
-
     for ids, nodes, some in sets:
         yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array([len(s) for s in some], pa.int64())],
                                          names=["doc_id", "node", "n_shingles"])
@@ -277,11 +275,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     doc_id counts only where no other is in the component; other columns are left aside; an empty
     table gives no rows.  Hash collisions are those of 64 bits.
     """
-    shared = stored(shared_prefixes(prefixes(docs, bucket_counts(docs, words), words)), "shared")
-    stars = stored(star_pairs(shared), "pairs")
-    first = _links(docs, stars, words)
-    crossing = stored(cross_pairs(shared, components(first), stars), "pairs")
-    roots = components(first.unionByName(_links(docs, crossing, words)))
+    shared = stored(shared_prefixes(prefixes(docs, bucket_levels(docs, words), words)), "shared")
+    blocks = stored(blocks_of(shared), "blocks")
+    cells = stored(cells_of(shared, blocks), "cells")
+    meeting = cells.select(F.col("x").alias("block")).unionByName(cells.select(F.col("y").alias("block"))).distinct()
+    blocks = stored(blocks.join(meeting, "block"), "blocks")
+    sets = stored(sets_of(docs, blocks.select("node"), words), "sets")
+    roots = components(stored(links_of(cells, blocks, sets), "links"))
     rows = stored(over_sets(docs, _named, "doc_id long, node long, n_shingles long", words), "nodes")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
