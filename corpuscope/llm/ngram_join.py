@@ -20,13 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm import sketch
 from corpuscope.llm.components import components
-from corpuscope.llm.shingles import WORDS, over_sets
+from corpuscope.llm.shingles import WORDS, nodes_of, over_sets, shingles_of
 from corpuscope.sources.shared import stored
 
 THRESHOLD = 80  # per cent
@@ -267,13 +268,13 @@ def _named(sets):
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id; one row for each row of ``docs``.
+    """doc_id, node, n_shingles, root; one row for each row of ``docs``.
 
     Sets are distinct runs of ``words`` words (all words of a shorter text).  Rows link when
-    100 * intersection >= 80 * union; component_id is the smallest doc_id that links reach.
-    NULL and empty texts have no shingles and are alone; repeated rows share a component; a NULL
-    doc_id counts only where no other is in the component; other columns are left aside; an empty
-    table gives no rows.  Hash collisions are those of 64 bits.
+    100 * intersection >= 80 * union; root names the group that links connect.
+    NULL and empty texts have no shingles, node 0 and a NULL root: each is alone.  Repeated rows
+    share a group; other columns are left aside; an empty table gives no rows.  Two different sets
+    share a node, or two n-grams a hash, with the odds of 64 bits.
     """
     shared = stored(shared_prefixes(prefixes(docs, bucket_levels(docs, words), words)), "shared")
     blocks = stored(blocks_of(shared), "blocks")
@@ -283,8 +284,40 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets = stored(sets_of(docs, blocks.select("node"), words), "sets")
     roots = components(stored(links_of(cells, blocks, sets), "links"))
     rows = stored(over_sets(docs, _named, "doc_id long, node long, n_shingles long", words), "nodes")
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.where("n_shingles > 0").join(least, "root").select(
-        "doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(
-        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return rows.join(roots, "node", "left").withColumn(
+        "root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+
+
+def component_ids(groups: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id of each row's group, its own if it is alone.
+
+    A NULL doc_id counts only where the group has no other.
+    """
+    least = groups.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return groups.join(least, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id (NULL is the smallest).
+
+    Texts without words stay, once for each doc_id.  Rows that repeat in doc_id and text are one.
+    """
+    groups = similar_groups(docs, words)
+    own = F.struct("doc_id", "node")
+    stay = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("first")).select("first.doc_id", "first.node").unionByName(
+        groups.where("root IS NULL").select("doc_id", "node").distinct())
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    rows = with_nodes(docs, words)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
+    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+
+
+def with_nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with _own, the node of each text."""
+    @F.pandas_udf("long")
+    def node(texts):
+        sets = [s for _, some in shingles_of(pa.array(texts, pa.string()), words) for s in some]
+        return pd.Series(nodes_of(sets))
+
+    return docs.withColumn("_own", node("text"))

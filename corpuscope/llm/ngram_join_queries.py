@@ -7,7 +7,8 @@ from corpuscope.llm import ngram_join
 
 def op10_ngram_join(spark, sf):
     """Every document with the component of documents whose shingle sets are alike."""
-    return ngram_join.similar_groups(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return ngram_join.component_ids(ngram_join.similar_groups(docs))
 
 
 # equal sets share a component at once; other pairs meet on any shingle that few sets have or, for the rest, on size

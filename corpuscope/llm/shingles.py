@@ -119,6 +119,11 @@ def shingles_of(column, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarr
         yield row, sets
 
 
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A name for each set; 0 for an empty one."""
+    return np.array([xxhash.xxh3_64_intdigest(s.data) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+
+
 def over_sets(docs: DataFrame, work, schema: str, words: int = WORDS) -> DataFrame:
     """``work`` on the shingle sets of all texts, in the task that reads them.
 
@@ -129,7 +134,6 @@ def over_sets(docs: DataFrame, work, schema: str, words: int = WORDS) -> DataFra
     def hashed(batches):
         for batch in batches:
             for row, sets in shingles_of(batch.column(1), words):
-                nodes = np.array([xxhash.xxh3_64_intdigest(s.data) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield batch.column(0)[row:row + len(sets)], nodes, sets
+                yield batch.column(0)[row:row + len(sets)], nodes_of(sets), sets
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: work(hashed(batches)), schema)
