@@ -216,7 +216,7 @@ _NUMBER = re.compile(r"""
 |(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}(?P<c1>[ -])[0-9]{4}(?P=c1)[0-9]{4}(?P=c1)[0-9]{4}|[0-9]{4}(?P<c2>[ -])[0-9]{6}(?P=c2)[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]))
 |(?P<phone>\+[0-9]{8,15}(?![0-9])
   |(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])
-  |\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])
+  |\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}(?![0-9])
   |(?<![0-9.+-])[0-9]{3}(?P<p1>[.-])[0-9]{3}(?P=p1)[0-9]{4}(?![0-9-]))
 """, re.VERBOSE)
 _ANY_DIGIT = re.compile(r"[0-9]")
