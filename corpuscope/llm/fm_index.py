@@ -8,7 +8,7 @@ SAMPLE_EVERY = 16
 
 
 def suffix_order(s: np.ndarray, bits: int) -> np.ndarray:
-    """Start positions of the suffixes of ``s`` in order.
+    """Start positions of the suffixes of ``s`` in order; ``bits`` hold a symbol plus one.
 
     As many symbols as fit into 62 bits are compared at first; then ranks are doubled, each time
     only among suffixes that are still equal, so long repeats cost no more than their own length.
@@ -17,7 +17,7 @@ def suffix_order(s: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(depth):
         key <<= bits
-        key[: n - i] |= s[i:]
+        key[: max(n - i, 0)] |= s[i:] + 1  # 0 is the end
     order = np.argsort(key)
     key = key[order]
     first = np.r_[True, key[1:] != key[:-1]]
@@ -88,7 +88,7 @@ class FmIndex:
 
     def __init__(self, s: np.ndarray, starts: np.ndarray, symbols: int):
         bits = max(1, int(symbols - 1).bit_length())
-        order = suffix_order(s, bits)
+        order = suffix_order(s, int(symbols).bit_length())
         self.size = len(s)
         self.first = np.r_[0, np.cumsum(np.bincount(s, minlength=symbols))].astype(np.int64)
         self.ranks = Ranks(s[order - 1], bits)
