@@ -10,7 +10,8 @@ few blocks, not all its pairs.  Blocks with a common n-gram, whose lengths and p
 reach the threshold, meet in a cell.  A cell stores one block's sets in a prefix tree (in order,
 each taking over what it shares with the one before) and walks it with all sets of the other block
 at once: overlaps along a shared path are counted once, and a subtree is left when the lengths that
-remain cannot bring any set to the threshold.  A cell returns links that join its nodes, no more
+remain cannot bring any set to the threshold.  Before sets are moved there, their signatures (a bit
+for each of the first bits of their n-grams) have shown which nodes of the cell may link at all.  A cell returns links that join its nodes, no more
 than it has nodes; connected components of all links are the groups.
 """
 
@@ -112,10 +113,14 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / THRESHOLD)))).cast("int")
     like, group = Window.partitionBy("token", "salt", "band"), Window.partitionBy("token", "salt")
+    rest, t = F.col("n") - F.col("pos"), THRESHOLD / 100
+    # with the group's longest rest and a partner of the least length that may link
+    able = (F.least(rest, F.col("rest")) >= (F.col("n") + F.greatest(F.col("least"), t * F.col("n"))) * t / (1 + t) - 1e-6)
     return (rows.withColumn("band", band)
             .withColumn("hub", F.min("node").over(like)).withColumn("others", F.count("*").over(group))
             .withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-            .where("low < high OR salt > 0").select("token", "node", "n", "pos", "others", "hub"))
+            .withColumn("rest", F.max(rest).over(group)).withColumn("least", F.min("n").over(group))
+            .where((F.col("salt") > 0) | (F.col("low") < F.col("high")) & able).select("token", "node", "n", "pos", "others", "hub"))
 
 
 def blocks_of(shared: DataFrame) -> DataFrame:
@@ -145,20 +150,115 @@ def cells_of(shared: DataFrame, blocks: DataFrame) -> DataFrame:
     return across.unionByName(inside).distinct()
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, tokens of the given nodes, once each; a fixed-size filter keeps the others from moving."""
+def _of_nodes(docs: DataFrame, nodes: DataFrame, words: int, columns: str, make) -> DataFrame:
+    """What ``make`` makes of the sets of the given nodes, once each; a fixed-size filter keeps the others from moving."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch.key_filter(nodes, "node"))
 
     def sift(sets) -> Iterator[pa.RecordBatch]:
         for _, named, some in sets:
-            keep = np.flatnonzero(sketch.may_have(sent.value, named))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(named[keep]), pa.array([some[i].tobytes() for i in keep], pa.binary())], names=["node", "tokens"])
+            keep = np.flatnonzero(sketch.may_have(sent.value, named) & (named != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(named[keep]), *make([some[i] for i in keep])],
+                                             names=["node", *[c.split()[0] for c in columns.split(", ")]])
 
-    few = over_sets(docs, sift, "node long, tokens binary", words)
+    few = over_sets(docs, sift, f"node long, {columns}", words)
     return few.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, tokens."""
+    return _of_nodes(docs, nodes, words, "tokens binary", lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary())])
+
+
+def signature(s: np.ndarray) -> bytes:
+    """A bit for each value of the n-grams' first bits that occurs: about as many bits as n-grams."""
+    width = max(8, (len(s) - 1).bit_length())
+    bits = np.zeros(1 << width, bool)
+    bits[(s >> np.uint64(64 - width)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def signatures_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, n, mark: a set's size and signature, 64 times smaller than the set."""
+    return _of_nodes(docs, nodes, words, "n int, mark binary", lambda sets: [
+        pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary())])
+
+
+def near(ours: list[tuple[int, bytes]], theirs: list[tuple[int, bytes]], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``ours`` and of ``theirs`` (size, signature) may link with one of the other.
+
+    A bit that only one side has stands for an n-gram that only it has, so signatures bound the
+    overlap from above.  Sizes that may link differ by less than two, so signatures by one doubling;
+    a longer one is folded.
+    """
+    found = np.zeros(len(ours), bool), np.zeros(len(theirs), bool)
+    widths = sorted({len(m) for _, m in ours} | {len(m) for _, m in theirs})
+    pick = lambda rows, w: np.array([i for i, (_, m) in enumerate(rows) if len(m) == w], np.int64)
+
+    def bits(rows, at, width):
+        out = np.unpackbits(np.stack([np.frombuffer(rows[i][1], np.uint8) for i in at]), axis=1, bitorder="little")
+        while out.shape[1] > 8 * width:
+            out = out[:, ::2] | out[:, 1::2]
+        return out.astype(np.float32)
+
+    for w in widths:
+        for v in (w // 2, w, 2 * w):
+            a, b = pick(ours, w), pick(theirs, v)
+            if not len(a) or not len(b):
+                continue
+            x, y = bits(ours, a, min(v, w)), bits(theirs, b, min(v, w))
+            n_x, n_y = (np.array([rows[i][0] for i in at])[:, None] for rows, at in ((ours, a), (theirs, b)))
+            both = x @ y.T
+            most = np.minimum(n_x - x.sum(1)[:, None], (n_y - y.sum(1)[:, None]).T) + both
+            able = (100 + THRESHOLD) * most >= THRESHOLD * (n_x + n_y.T)
+            if same:
+                able &= a[:, None] != b[None, :]
+            found[0][a[able.any(1)]] = True
+            found[1][b[able.any(0)]] = True
+    return found
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], tuple[list, list]]]:
+    """(x, y) and the rows of either side, from rows (x, y, side, ...) in that order."""
+    key, sides = None, ([], [])
+    for batch in batches:
+        for x, y, side, *rest in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
+            if (x, y) != key:
+                if key:
+                    yield key, sides
+                key, sides = (x, y), ([], [])
+            sides[side].append(rest)
+    if key:
+        yield key, sides
+
+
+def _meet(cells: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of both blocks of each cell, cell by cell."""
+    first = cells.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), *columns)
+    second = cells.where("x < y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), *columns)
+    return first.unionByName(second).repartition("x", "y").sortWithinPartitions("x", "y", "side")
+
+
+def near_nodes(cells: DataFrame, blocks: DataFrame, marks: DataFrame) -> DataFrame:
+    """x, y, side, node: the nodes of each cell that may have a link there, by their signatures."""
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (x, y), (ours, theirs) in _cells(batches):
+            same = x == y
+            sides = near([r[1:] for r in ours], [r[1:] for r in (ours if same else theirs)], same)
+            for side, (rows, able) in enumerate(zip((ours, theirs), sides)):
+                out += [(x, y, side, r[0]) for r, fit in zip(rows, able) if fit]
+            if len(out) > 10_000:
+                yield record(out)
+                out = []
+        yield record(out)
+
+    def record(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+                                          names=["x", "y", "side", "node"])
+
+    return _meet(cells, blocks.join(marks, "node"), ["node", "n", "mark"]).mapInArrow(sift, "x long, y long, side int, node long")
+
+
 def tree_links(ours: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """(i, j) with ours[i] and theirs[j] at the threshold or above.
 
@@ -207,7 +307,7 @@ def tree_links(ours: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tup
                 yield int(i), j
 
 
-def _joined(nodes: list[int], links: Iterator[tuple[int, int]], root: dict[int, int]) -> Iterator[tuple[int, int]]:
+def _joined(links: Iterator[tuple[int, int]], root: dict[int, int]) -> Iterator[tuple[int, int]]:
     """Links that join two nodes not joined yet."""
     def top(v: int) -> int:
         while root.setdefault(v, v) != v:
@@ -222,43 +322,25 @@ def _joined(nodes: list[int], links: Iterator[tuple[int, int]], root: dict[int,
             yield a, b
 
 
-def links_of(cells: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links that connect what the cells' nodes connect; no more per cell than it has nodes."""
-    held = blocks.join(sets, "node")
-    first = cells.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), "node", "tokens")
-    second = cells.where("x < y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), "node", "tokens")
-    rows = first.unionByName(second).repartition("x", "y").sortWithinPartitions("x", "y", "side")
-
-    def links(sides) -> list[tuple[int, int]]:
-        (names, sets), (others, more) = sides
-        if not sets or not (more or len(sets) > 1):
-            return []
-        if not more:
-            others, more = names, sets
-        found, root = [], {}
-        for at in range(0, len(sets), BLOCK):
-            pairs = ((names[at + i], others[j]) for i, j in tree_links(sets[at:at + BLOCK], more) if names[at + i] != others[j])
-            found += _joined(names, pairs, root)
-        return found
+def links_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect what the cells' nodes connect; no more per cell than it has nodes.
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, (([], []), ([], []))
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            x, y, side, node = (batch.column(i).to_pylist() for i in range(4))
-            for i, tokens in enumerate(batch.column(4)):
-                if (x[i], y[i]) != key:
-                    out += links(sides)
-                    key, sides = (x[i], y[i]), (([], []), ([], []))
-                sides[side[i]][0].append(node[i])
-                sides[side[i]][1].append(np.frombuffer(tokens.as_py(), np.uint64))
-            yield record(out)
-        yield record(links(sides))
+    ``rows`` are (x, y, side, node).
+    """
+    dealt = rows.join(sets, "node").select("x", "y", "side", "node", "tokens").repartition("x", "y").sortWithinPartitions("x", "y", "side")
 
-    def record(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (x, y), sides in _cells(batches):
+            (names, ours), (others, theirs) = (([r[0] for r in s], [np.frombuffer(r[1], np.uint64) for r in s]) for s in sides)
+            if x == y:
+                others, theirs = names, ours
+            found, root = [], {}
+            for at in range(0, len(ours) if theirs else 0, BLOCK):
+                pairs = ((names[at + i], others[j]) for i, j in tree_links(ours[at:at + BLOCK], theirs) if names[at + i] != others[j])
+                found += _joined(pairs, root)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return rows.mapInArrow(walk, "a long, b long")
+    return dealt.mapInArrow(walk, "a long, b long")
 
 
 def _named(sets):
@@ -281,8 +363,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     cells = stored(cells_of(shared, blocks), "cells")
     meeting = cells.select(F.col("x").alias("block")).unionByName(cells.select(F.col("y").alias("block"))).distinct()
     blocks = stored(blocks.join(meeting, "block"), "blocks")
-    sets = stored(sets_of(docs, blocks.select("node"), words), "sets")
-    roots = components(stored(links_of(cells, blocks, sets), "links"))
+    marks = stored(signatures_of(docs, blocks.select("node"), words), "marks")
+    rows = stored(near_nodes(cells, blocks, marks), "near")
+    sets = stored(sets_of(docs, rows.select("node").distinct(), words), "sets")
+    roots = components(stored(links_of(rows, sets), "links"))
     rows = stored(over_sets(docs, _named, "doc_id long, node long, n_shingles long", words), "nodes")
     return rows.join(roots, "node", "left").withColumn(
         "root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
