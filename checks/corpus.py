@@ -7,20 +7,16 @@ row, so work on the corpus grows with the documents.  The same templates feed bo
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql import md5_int, q
 from corpuscope.functions import text as tx
-from corpuscope.sources.tables import read_texts
+from corpuscope.sources.shared import shared_folder
 
 # (filename, language as declared by the collection, origin, line prefix, body)
 TEMPLATES: list[tuple[str, str, str, str, str]] = [
-    ("math_utils.py", "Python", "github", "    ", '"""@@"""\nfrom math import sqrt\nimport os, sys\n\n\ndef factorial(n):\n    if n <= 1:\n        return 1\n    return n * factorial(n-1)\n\nclass MathUtils:\n    def __init__(self):\n        self.cache = {}\n\n    def calculate(self, n):\n        if n in self.cache:\n            return self.cache[n]\n        result = factorial(n)\n        self.cache[n] = result\n        return result\n\nutils = MathUtils()\nprint(utils.calculate(5))\n'),
+    ("math_utils.py", "Python", "github", "    ", '"""@@"""\nfrom time import monotonic\nimport json, socket\n\n\ndef steps_down(height):\n    if height < 2:\n        return height\n    return steps_down(height-1) + steps_down(height-2)\n\nclass Stairs:\n    def __init__(self):\n        self.known = []\n\n    def ways(self, height):\n        if height < len(self.known):\n            return self.known[height]\n        found = steps_down(height)\n        self.known.append(found)\n        return found\n\nhouse = Stairs()\nprint(house.ways(7), monotonic())\n'),
     ("loader.py", "Python", "github", "# ", 'import numpy as np\nimport pandas as pd\nfrom os.path import (\n    join,\n    basename as base,\n)\nfrom . import sibling\nfrom .pkg import thing as other\nfrom typing import *\n# @@\n\nclass Loader(Base):\n    """Loads\n    data."""\n    limit: int = 3\n    kind = mode = "plain"\n\n    def __init__(self, path, sep=",", *rest, strict=True):\n        self.path = path\n        first, second = path, sep\n\n    def rows(\n        self,\n        start: int = 0,\n        stop: dict[str, int] = dict(a=(1, 2)),\n    ) -> list:\n        table = pd.read_csv(self.path)\n        for row in table:\n            while row:\n                try:\n                    with open(row) as fh:\n                        value = fh.read()\n                except OSError:\n                    continue\n# low comment\n                else:\n                    row = None\n        return [r\n                for r in table\n                if r]\n\n    if True:\n        def hidden(self):\n            return None\n\n    async def later(self, x):\n        return x\n\n\n\n\ndef top(a, b, /, c, *, d):\n    def inner(x):\n        return x\n    total = other = a\n    if a == b:\n        return inner(c)\n    elif a:\n        return d\n    return total\n'),
     ("squares.py", "Python", "github", "# ", 'def run():\n    squares = [x**2 for x in range(10)]\n    return squares\n\nprint(run())\n# @@\n'),
     ("palin.py", "Python", "github", "# ", "def is_palindrome(s):\n    return s == s[::-1]\n# @@\n"),
@@ -31,7 +27,7 @@ TEMPLATES: list[tuple[str, str, str, str, str]] = [
     ("stats.py", "Python", "github", "# ", "import pandas\n# @@\ndef data(frame):\n    return frame.merge(frame).groupby('k')\n"),
     ("crlf.py", "Python", "github", "# ", "import json\r\n\r\ndef née(é, ü=1):\r\n    '''one\r\n    two'''\r\n    naïve = é\r\n    return naïve\r\n# @@\r\n"),
     ("names.py", "Python", "github", "# ", 'def load():\n    return open("settings.json")\n# @@\n'),
-    ("app.js", "JavaScript", "github", " * ", "/* @@ */\nfunction factorial(n) {\n    if (n <= 1) return 1;\n    return n * factorial(n-1);\n}\n"),
+    ("app.js", "JavaScript", "github", " * ", "/* @@ */\nfunction countDown(from) {\n    if (from === 0) { return []; }\n    return [from].concat(countDown(from - 1));\n}\n"),
     ("sort.js", "JavaScript", "github", "// ", "// @@\nconst bubbleSort = (arr) => {\n  for (let i = 0; i < arr.length; i++) { swap(arr, i); }\n  return arr;\n};\n"),
     ("palin.js", "JavaScript", "stackoverflow", "// ", "function isPalindrome(str) {\n  return str === str.split('').reverse().join('');\n}\n// @@\n"),
     ("server.js", "JavaScript", "github", "// ", "const express = require('express');\nconst app = express();\n// @@\nfunction start(port) {\n  return app.listen(port);\n}\nconsole.log('node');\n"),
@@ -49,7 +45,7 @@ TEMPLATES: list[tuple[str, str, str, str, str]] = [
     ("site.css", "CSS", "github", " * ", "/* @@ */\nbody {\n  margin: 0;\n  color: #333;\n}\n.page-container {\n  padding: 10px;\n  display: flex;\n}\n"),
     ("box.css", "CSS", "github", " * ", "/* @@ */\n.box-container {\n  margin: 4px;\n  border-radius: 4px;\n}\n"),
     ("wide.css", "CSS", "github", " * ", "/* @@ */\n@media screen and (max-width: 600px) {\n  .row { padding: 4px; }\n}\n"),
-    ("float.css", "CSS", "stackoverflow", " * ", "div { float: left; clear: both; }\n"),
+    ("float.css", "CSS", "stackoverflow", " * ", "/* @@ */\ndiv { float: left; clear: both; }\n"),
     ("loose.css", "CSS", "stackoverflow", "", "use color: red and position: fixed here @@\n"),
     ("empty-rule.css", "CSS", "stackoverflow", "", "html { inherit } @@\n"),
     ("data.json", "JSON", "github", " ", "{\n  \"name\": \"demo\",\n  \"size\": [1, 2],\n  \"text\": \"@@\"\n}\n"),
@@ -82,25 +78,31 @@ TEMPLATES: list[tuple[str, str, str, str, str]] = [
     ("sets.py", "Python", "stackoverflow", "# ", "def merge_sort(rows):\n    # @@\n    if len(rows) < 2: return rows\n    mid = len(rows) // 2\n    left, right = rows[:mid], rows[mid:]\n    return left + right\n\nprint(merge_sort([3, 1]))  # merge sort\n"),
 ]
 T = len(TEMPLATES)
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, *t) for i, t in enumerate(TEMPLATES)]
     return spark.createDataFrame(
-        rows, "template_id long, filename string, language string, origin string, prefix string, body string")
+        _placed(), "template_id long, extra boolean, filename string, language string, origin string, prefix string, body string")
+
+
+def _placed() -> list[tuple]:
+    """Templates by number.  One without a place for the text is an extra row beside the whole text."""
+    plain = next(t for t in TEMPLATES if t[4] == "@@")
+    rows = []
+    for i, t in enumerate(TEMPLATES):
+        without = "@@" not in t[4]
+        rows += [(i, False, *(plain if without else t))] + [(i, True, *t)] * without
+    return rows
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table; tables of texts are spread over the cores when stored in too few row groups."""
-    path, key = f"{sf_dir}/{table}.parquet", TEXT_TABLES.get(table)
-    return read_texts(spark, path, key) if key else spark.read.parquet(path)
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch(spark) -> str:
-    """A new folder in the place the cluster shares; a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscope-")
-    return os.path.join(base, f"corpuscope-{uuid.uuid4().hex}")
+    """A new folder in the place the cluster shares."""
+    return shared_folder(spark, "checks")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         docs.join(F.broadcast(template_table(spark)), F.col("doc_id") % T == F.col("template_id"))
         .select(
-            "doc_id", "filename", "language", "origin",
+            F.when(F.col("extra"), -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), "filename", "language", "origin",
             F.concat("origin", F.lit(":"), "_src", F.lit("/"), "filename").alias("source"),
             F.replace(F.col("body"), F.lit("@@"), placed).alias("content"),
             (number % 1000).alias("stars"),
@@ -122,13 +124,12 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_sql(name: str = "corpus") -> str:
     """``name AS (...)``: the same corpus for SQL."""
-    rows = ",\n".join(
-        f"({i}, {', '.join(q(v) for v in t)})" for i, t in enumerate(TEMPLATES))
+    rows = ",\n".join(f"({i}, {extra}, {', '.join(q(v) for v in t)})" for i, extra, *t in _placed())
     number = md5_int("doc_id::VARCHAR")
-    return f"""templates(template_id, filename, language, origin, prefix, body) AS (VALUES
+    return f"""templates(template_id, extra, filename, language, origin, prefix, body) AS (VALUES
 {rows}),
 {name} AS (
-  SELECT d.doc_id, t.filename, t.language, t.origin,
+  SELECT CASE WHEN t.extra THEN -1 - d.doc_id ELSE d.doc_id END AS doc_id, t.filename, t.language, t.origin,
          t.origin || ':' || d.source || '/' || t.filename AS source,
          replace(t.body, '@@', replace(d.text, chr(10), chr(10) || t.prefix)) AS content,
          {number} % 1000 AS stars,

@@ -90,6 +90,12 @@ def purpose_training_rows(spark, sf):
     return cleaning.training_rows(rows, None, purpose_seeds(spark), False).groupBy("purpose").agg(F.count("*").alias("n"))
 
 
+def purpose_training_seeds(spark, sf):
+    """The same rule where no row was collected: the seeds stand in."""
+    rows = code_corpus(spark, sf).where(F.col("content").isNull()).select("content", source_purpose(F.col("source")).alias("purpose"))
+    return cleaning.training_rows(rows, None, purpose_seeds(spark), False).groupBy("purpose").agg(F.count("*").alias("n"))
+
+
 def purpose_training_set(spark, sf):
     return purpose_samples(samples(spark, sf)).groupBy("purpose", "language").agg(F.count("*").alias("n"))
 
@@ -235,6 +241,7 @@ def label_cosine(spark, sf):
 QUERIES = {f.__name__: f for f in (
     cap_per_language, collect_samples, tail_split, hash_split, stratified_split, label_stratified_split, three_way_split,
     kfold, repeated_kfold, budget_per_source, augment, rare_class_augment, language_training_rows, purpose_training_rows,
+    purpose_training_seeds,
     purpose_training_set, stage_totals, char_vocabulary, char_document_frequency, char_tfidf, word_tfidf,
     word_tfidf_stopped, nb_scores, nb_predictions, accuracy, classification_report, confusion_matrix, label_report,
     label_confusion, accepted_alternatives, pass_rate, example_evaluation, distinct_labels, nearest_reference, label_cosine)}
@@ -337,7 +344,7 @@ S = f"WITH {C}, samples AS (SELECT doc_id AS sample_id, * EXCLUDE (doc_id) FROM
 ORACLES = {
     "cap_per_language": f"{S} SELECT sample_id, language, origin, stars FROM samples QUALIFY row_number() OVER (PARTITION BY language, origin ORDER BY stars DESC, sample_id) <= 10",
     "collect_samples": f"""{S} SELECT sample_id, language, extension, md5(c) AS digest, source FROM (
-        SELECT *, substr(content, 1, 10000) AS c, list_last(string_split(filename, '.')) AS extension FROM samples WHERE origin <> 'stackoverflow' AND length(content) >= 100
+        SELECT *, content AS c, list_last(string_split(filename, '.')) AS extension FROM samples WHERE origin <> 'stackoverflow' AND length(content) >= 100
           QUALIFY row_number() OVER (PARTITION BY language ORDER BY stars DESC, sample_id) <= 30
         UNION ALL SELECT *, content AS c, NULL FROM samples WHERE origin = 'stackoverflow' AND coalesce(try_cast(votes AS INT), 0) >= 3 AND length(content) >= 50
           QUALIFY row_number() OVER (PARTITION BY language ORDER BY sample_id) <= 6)""",
@@ -358,6 +365,9 @@ ORACLES = {
                           "SELECT sample_id * 3, sample_id, 'original', language, md5(content) FROM c WHERE cn >= 60",
     "language_training_rows": f"{S}, s(language, k) AS (VALUES {_lang_seeds}) SELECT language, sum(k)::BIGINT AS n FROM (SELECT language, 2 AS k FROM samples UNION ALL SELECT language, k FROM s) GROUP BY language",
     "purpose_training_rows": f"WITH {C} SELECT CASE {_source_arms} ELSE 'Other' END AS purpose, count(*) AS n FROM corpus GROUP BY 1",
+    "purpose_training_seeds": f"WITH {C}, n AS (SELECT count(*) AS n FROM corpus WHERE content IS NULL), s(purpose, k) AS (VALUES "
+                              f"{', '.join(f'({q(k)}, {len(v)})' for k, v in catalog.PURPOSE_SEEDS.items())}) "
+                              "SELECT purpose, k::BIGINT AS n FROM s, n WHERE n.n = 0",
     "purpose_training_set": f"WITH {C} SELECT {keyword_purpose_sql('content', 'language')} AS purpose, language, count(*) AS n FROM corpus GROUP BY ALL",
     "stage_totals": f"WITH {C} SELECT language, count(*) AS n FROM corpus GROUP BY ROLLUP(language)",
     "char_vocabulary": f"WITH {_char_grams_sql('documents', 2, 4)}, terms AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL) "

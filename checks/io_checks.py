@@ -123,8 +123,8 @@ def analyze_with_models(spark, sf):
     purpose_model = models.purpose_model_forest(
         training.purpose_samples(rows).where(F.col("sample_id").isNotNull()), trees=20, max_depth=5, max_features=1_000)
     good, _ = split_rejects(rows)
-    scored = models.predict(language_model, good, "model_language", "language_confidence")
-    scored = models.predict(purpose_model, scored, "model_purpose", "model_confidence")
+    scored = models.predict(language_model, good, "model_language", "language_confidence", squeeze="content")
+    scored = models.predict(purpose_model, scored, "model_purpose", "model_confidence", squeeze="content")
     done = analyze(scored.drop("language"), model_language="model_language", model_purpose="model_purpose",
                    model_confidence="model_confidence")
     return done.groupBy("language", "type").agg(F.count("*").alias("files"))

@@ -64,12 +64,13 @@ def squeeze(col: str) -> str:
     return strip(sub(text, r"\s+", " "))
 
 
-def cleaned(col: str, language: str, most: int = 5000) -> str:
+def cleaned(col: str, language: str, most: int | None = None) -> str:
     docs = sub(sub(col, r'"""[\s\S]*?"""', ""), r"'''[\s\S]*?'''", "")
     blocks = sub(col, r"/\*[\s\S]*?\*/", "")
     body = (f"CASE WHEN {language} = 'Python' THEN {docs} "
             f"WHEN {language} IN ('JavaScript','TypeScript','Java','C/C++','C#') THEN {blocks} ELSE {col} END")
-    return f"substr({sub(body, chr(92) + 'n{3,}', chr(10) * 2)}, 1, {most})"
+    squeezed = sub(body, chr(92) + "n{3,}", chr(10) * 2)
+    return f"substr({squeezed}, 1, {most})" if most else squeezed
 
 
 def split_lines(col: str) -> str:

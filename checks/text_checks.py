@@ -26,13 +26,19 @@ def clean_sample(spark, sf):
     return done.select("doc_id", F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
+def clean_sample_limit(spark, sf):
+    """The stated limit of 5,000 characters."""
+    done = cleaning.clean(code_corpus(spark, sf), max_chars=5000)
+    return done.select("doc_id", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
 def preprocess_batch(spark, sf):
     done = cleaning.preprocess(code_corpus(spark, sf))
     return done.select("doc_id", "language", "source", F.md5("content").alias("digest"))
 
 
 def size_filters(spark, sf):
-    kept = cleaning.large_enough(cleaning.has_content(code_corpus(spark, sf)))
+    kept = cleaning.large_enough(cleaning.has_content(code_corpus(spark, sf)), most=10_000)
     return kept.select("doc_id", F.length("content").alias("chars"), F.md5("content").alias("digest"),
                        tx.preview(F.col("content")).alias("preview"))
 
@@ -163,7 +169,7 @@ def missing_class(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    preprocess_code, clean_sample, preprocess_batch, size_filters, votes_filter, size_metrics, dedupe, tokens,
+    preprocess_code, clean_sample, clean_sample_limit, preprocess_batch, size_filters, votes_filter, size_metrics, dedupe, tokens,
     feature_vector, page_features, presence_counts, predict_language, language_histogram, page_language,
     document_language, weighted_language, editor_guess, extension_lookup, language_overrides, display_gaps,
     script_blocks, style_block_language, article_blocks,
@@ -327,6 +333,8 @@ ORACLES = {
                        "SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM s",
     "clean_sample": f"WITH {C}, s AS (SELECT doc_id, {cleaned('content', 'language')} AS t FROM corpus) "
                     "SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM s",
+    "clean_sample_limit": f"WITH {C}, s AS (SELECT doc_id, {cleaned('content', 'language', 5000)} AS t FROM corpus) "
+                    "SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM s",
     "preprocess_batch": f"WITH {C}, s AS (SELECT doc_id, language, source, {cleaned('content', 'language')} AS t FROM corpus "
                         "WHERE length(content) > 0) SELECT doc_id, language, source, md5(t) AS digest FROM s WHERE length(t) >= 50",
     "size_filters": f"WITH {C}, s AS (SELECT doc_id, substr(content, 1, 10000) AS t FROM corpus WHERE length(content) >= 100) "

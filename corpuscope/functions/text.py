@@ -60,8 +60,8 @@ def squeeze_code(text: Column) -> Column:
     return strip(replace_all(text, r"\s+", " "))
 
 
-def clean_code(text: Column, language: Column, max_chars: int = 5000) -> Column:
-    """Drop long comment blocks of the language, squeeze blank lines, cut to ``max_chars``."""
+def clean_code(text: Column, language: Column, max_chars: int | None = None) -> Column:
+    """Drop long comment blocks of the language, squeeze blank lines; cut to ``max_chars`` only if that is given."""
     docstrings = replace_all(replace_all(text, r'"""[\s\S]*?"""', ""), r"'''[\s\S]*?'''", "")
     blocks = replace_all(text, r"/\*[\s\S]*?\*/", "")
     body = (
@@ -69,7 +69,8 @@ def clean_code(text: Column, language: Column, max_chars: int = 5000) -> Column:
         .when(language.isin("JavaScript", "TypeScript", "Java", "C/C++", "C#"), blocks)
         .otherwise(text)
     )
-    return F.substring(replace_all(body, r"\n{3,}", "\n\n"), 1, max_chars)
+    squeezed = replace_all(body, r"\n{3,}", "\n\n")
+    return squeezed if max_chars is None else F.substring(squeezed, 1, max_chars)
 
 
 def preview(text: Column, width: int = 50) -> Column:

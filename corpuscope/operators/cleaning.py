@@ -10,9 +10,10 @@ from corpuscope.functions.text import clean_code, md5_int, replace_all
 TOKEN = r"[\p{L}_][\p{L}\p{N}_]*|\p{N}+|[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
-def large_enough(df: DataFrame, text: str = "content", least: int = 100, most: int = 10_000) -> DataFrame:
-    """Drop short contents, cut long ones."""
-    return df.where(F.length(text) >= least).withColumn(text, F.substring(text, 1, most))
+def large_enough(df: DataFrame, text: str = "content", least: int = 100, most: int | None = None) -> DataFrame:
+    """Drop short contents; cut long ones only if ``most`` is given."""
+    rows = df.where(F.length(text) >= least)
+    return rows if most is None else rows.withColumn(text, F.substring(text, 1, most))
 
 
 def has_content(df: DataFrame, text: str = "content") -> DataFrame:
@@ -35,15 +36,15 @@ def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()})
 
 
-def clean(df: DataFrame, text: str = "content", language: str = "language") -> DataFrame:
-    """Clean-only mode: no row is dropped."""
-    return df.withColumn(text, clean_code(F.col(text), F.col(language)))
+def clean(df: DataFrame, text: str = "content", language: str = "language", max_chars: int | None = None) -> DataFrame:
+    """Clean-only mode: no row is dropped, and none is cut unless ``max_chars`` is given."""
+    return df.withColumn(text, clean_code(F.col(text), F.col(language), max_chars))
 
 
 def preprocess(df: DataFrame, text: str = "content", language: str = "language", source: str = "source",
-               least: int = 50) -> DataFrame:
+               least: int = 50, max_chars: int | None = None) -> DataFrame:
     """Non-empty rows, cleaned, long enough after cleaning, with a source."""
-    rows = clean(has_content(df, text), text, language).where(F.length(text) >= least)
+    rows = clean(has_content(df, text), text, language, max_chars).where(F.length(text) >= least)
     return with_defaults(rows, {source: "unknown"})
 
 
@@ -63,11 +64,13 @@ def fingerprint(text: Column) -> Column:
 def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
     """Keep the lowest key of every group of texts equal up to white space.
 
-    Copies are combined before the exchange of (fingerprint, key), so a large group of copies
-    is one row per task; texts themselves only meet the list of kept keys.
+    NULL texts are no copies of each other.  Only (fingerprint, key) is exchanged to find the keys
+    of further copies; texts then meet that list of keys, which is short where copies are few.
     """
-    kept = df.groupBy(fingerprint(F.col(text)).alias("_print")).agg(F.min(key).alias(key)).select(key)
-    return df.join(kept, key, "left_semi")
+    prints = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), fingerprint(F.col(text)).alias("_print"))
+    groups = prints.groupBy("_print").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    further = prints.join(groups, "_print").where("_key > _first").select(F.col("_key").alias(key))
+    return df.join(further, key, "left_anti")
 
 
 def augment(df: DataFrame, key: str = "sample_id", text: str = "content", source: str = "source") -> DataFrame:
@@ -142,4 +145,6 @@ def training_rows(collected: DataFrame | None, augmented: DataFrame | None, seed
         return seeds
     if always_add_seeds:
         return rows.unionByName(seeds)
-    return seeds if rows.isEmpty() else rows
+    # decided inside the query: the seeds pass only where the count of other rows is 0
+    count = rows.agg(F.count("*").alias("n")).scalar()
+    return rows.unionByName(seeds.where(count == 0))

@@ -27,10 +27,6 @@ def _arms(rules: list[tuple[str, str, Column]]) -> Column:
     return case
 
 
-def _extension_arms(name: Column, rule: str, labels: list[tuple[str, str]]) -> Column:
-    return _arms([(rule, label, name.endswith(suffix)) for suffix, label in labels])
-
-
 def with_language(df: DataFrame, text: str = "content", rules_only: bool = True) -> DataFrame:
     """Add ``language`` and ``language_rule``.
 
@@ -206,9 +202,7 @@ def weighted_language(df: DataFrame, text: str = "content") -> DataFrame:
     return df.withColumn("weighted_language", label).drop(*scores)
 
 
-EDITOR_FILE = r"(?:\/|\\)?(\w+\.\w+)(?:['\"]\s|$)"
 EDITOR_FILE_JAVA = r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++\.[A-Za-z0-9_]++)(?:['\"][\s\x0b\x{FEFF}\p{Z}]|\z)"
-EDITOR_NAME = r"[\"'`]([\w.-]+\.[a-z]+)[\"'`]"
 
 
 def editor_guess(df: DataFrame, text: str = "content") -> DataFrame:

@@ -149,7 +149,9 @@ def test_files_and_stream_equal_batch(spark, tmp_path):
     query = live.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark"), once=True)
     query.awaitTermination()
     columns = ["doc_id", "filename", "language", "type", "confidence", "summary"]
-    streamed = spark.read.parquet(str(tmp_path / "out")).select(columns)
+    results = spark.read.parquet(str(tmp_path / "out"))
+    assert [(r.filename, r.error) for r in results.where("error IS NOT NULL").collect()] == [("empty.txt", "Empty file")]
+    streamed = results.where("error IS NULL").select(columns)
     want = analyze(batch.where("filename <> 'empty.txt'")).select(columns)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, want.collect()))
 
@@ -163,3 +165,32 @@ def test_rule_path_plan(spark, sf):
     filtered = analyze(docs.select("doc_id", "text"), "text").where("language = 'CSS' and doc_id < 9")
     text = filtered._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,9)]" in text and len(text) < 3 * len(plan)
+
+
+def test_stream_keeps_rejected_files(spark, tmp_path):
+    from corpuscope.streaming import live
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.py").write_text("def f(x):\n    return x\n")
+    (folder / "b.txt").write_text(" \n")
+    query = live.start(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "mark"), once=True)
+    query.awaitTermination()
+    rows = {r.filename: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows["a.py"].error is None and rows["a.py"].language == "Python"
+    assert rows["b.txt"].error == "Empty file" and rows["b.txt"].language is None
+
+
+def test_null_texts_are_no_copies(spark):
+    from corpuscope.operators import cleaning
+
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "a  b"), (5, "c")], "doc_id long, content string")
+    assert sorted(r.doc_id for r in cleaning.drop_duplicates(rows).collect()) == [1, 2, 3, 5]
+
+
+def test_long_texts_are_not_cut(spark):
+    from corpuscope.operators import cleaning
+
+    rows = spark.createDataFrame([(1, "x" * 30_000, "Go", "s")], "sample_id long, content string, language string, source string")
+    assert cleaning.large_enough(cleaning.preprocess(rows)).selectExpr("length(content)").first()[0] == 30_000
+    assert cleaning.large_enough(cleaning.preprocess(rows, max_chars=5000), most=100).selectExpr("length(content)").first()[0] == 100

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from compare import duck, rows_of_duck, rows_of_spark
 
-SLOW = {"stream_analyze", "file_scan"}
-NAMES = [n for n in entry.queries() if n in entry.oracle_sql() and n not in SLOW]
+#: tests/llm runs the queries of the training-data operators
+NAMES = [n for n in registry.queries() if n in registry.oracles()]
 
 
 @pytest.fixture(scope="module")
