@@ -36,6 +36,8 @@ BUCKET_BITS = 22  # n-grams are counted in 2^22 buckets; one byte for each, 4 MB
 PARTS = 64
 HOT = 50_000
 BLOCK = 128
+MOST_BITS = 15
+AT_ONCE = 1 << 25  # bytes of the table of one side's n-grams while the other's tree is walked
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -170,8 +172,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bit for each value of the n-grams' first bits that occurs: about as many bits as n-grams."""
-    width = max(8, (len(s) - 1).bit_length())
+    """A bit for each value of the n-grams' first bits that occurs: about as many bits as n-grams.
+
+    Signatures of very long texts stay short and just tell less.
+    """
+    width = min(max(8, (len(s) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(1 << width, bool)
     bits[(s >> np.uint64(64 - width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -271,7 +276,7 @@ def tree_links(ours: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tup
     known = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
     if not len(known):
         return
-    has = np.zeros((len(known) + 1, len(ours)), np.int32)  # the last row is for n-grams that only one side has
+    has = np.zeros((len(known) + 1, len(ours)), np.uint8)  # the last row is for n-grams that only one side has
     for i, s in enumerate(ours):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         has[at[known[at] == s], i] = 1
@@ -295,7 +300,7 @@ def tree_links(ours: list[np.ndarray], theirs: list[np.ndarray]) -> Iterator[tup
         step = max(8, len(s) // 8)
         while depth < len(s):
             until = min(depth + step, len(s))
-            overlap = overlap + has[row[depth:until]].sum(0)
+            overlap = overlap + has[row[depth:until]].sum(0, dtype=np.int32)
             depth = until
             path.append((depth, overlap))
             if not (overlap + (len(s) - depth) >= least).any():
@@ -335,8 +340,9 @@ def links_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
             if x == y:
                 others, theirs = names, ours
             found, root = [], {}
-            for at in range(0, len(ours) if theirs else 0, BLOCK):
-                pairs = ((names[at + i], others[j]) for i, j in tree_links(ours[at:at + BLOCK], theirs) if names[at + i] != others[j])
+            step = max(1, min(BLOCK, AT_ONCE // max(map(len, ours), default=1)))
+            for at in range(0, len(ours) if theirs else 0, step):
+                pairs = ((names[at + i], others[j]) for i, j in tree_links(ours[at:at + step], theirs) if names[at + i] != others[j])
                 found += _joined(pairs, root)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(2)], names=["a", "b"])
 

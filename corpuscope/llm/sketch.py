@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILTER_BITS = 26  # 8 MB, whatever the input
+FILTER_BITS = 24  # 2 MB, whatever the input
 
 
 def key_filter(keys: DataFrame, key: str) -> np.ndarray:
