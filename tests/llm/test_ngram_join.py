@@ -22,6 +22,28 @@ def test_tree_finds_every_link(seed, n, m):
     assert sorted(j.tree_links(ours, theirs)) == sorted(want)
 
 
+def test_signatures_lose_no_link():
+    rng = np.random.default_rng(0)
+    links = left = 0
+
+    def some(n):
+        return np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+
+    for _ in range(60):
+        base = some(rng.integers(5, 900))
+
+        def copy():
+            return np.unique(np.concatenate([base[rng.integers(0, max(1, len(base) // 4)):], some(rng.integers(0, max(1, len(base) // 5)))]))
+
+        sides = [[copy() for _ in range(5)] + [some(len(base)) for _ in range(3)] for _ in range(2)]
+        able = j.near(*[[(len(s), j.signature(s)) for s in side] for side in sides], False)
+        for a, b in j.tree_links(*sides):
+            links += 1
+            assert able[0][a] and able[1][b]
+        left += int((~able[0]).sum())
+    assert links > 100 and left > 50
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, k) for k in range(1001, 1400)] + [(2000 + k, 2001 + k) for k in range(60)]
