@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.text import md5_int
 
 SLICES = 1024  # slices of the 32-bit hash range, see with_rank
+MOST_CLASSES = 100_000  # of a table of cuts, which is broadcast: about 100 bytes each
 BINS = 4096  # bins per pass of tail_cutoff
 
 
@@ -85,29 +86,64 @@ def hash_split(df: DataFrame, key: str, percent: int = 20, salt: str = "42:") ->
     return df.withColumn("split", F.when(hash_of(F.col(key), salt) % 100 < percent, "test").otherwise("train"))
 
 
+def cuts(df: DataFrame, key: str, label: str, shares: list[float], salt: str = "42:") -> DataFrame:
+    """_g (the label, never NULL), _size and one _cut per share: the (hash, key) of row ceil(share * size) in hash order.
+
+    Counts of hash slices tell which slice holds the row; only rows of those slices are ranked.
+    Nothing but labels, hashes and keys is exchanged.  One row per class; more than MOST_CLASSES
+    classes are an error, so that the result can be broadcast.
+    """
+    keyed = df.select(_group(label).alias("_g"), hash_of(F.col(key), salt).alias("_hash"), F.col(key).alias("_key")).withColumn(
+        "_slice", F.floor(F.col("_hash") / (2**32 // SLICES)))
+    ordered = Window.partitionBy("_g").orderBy("_slice")
+    counts = keyed.groupBy("_g", "_slice").agg(F.count("*").alias("_n")).withColumns({
+        "_before": F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_size": F.sum("_n").over(Window.partitionBy("_g")),
+    })
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.col("_size") * share).alias("k")) for i, share in enumerate(shares)])
+    holders = counts.withColumn("_w", F.explode(wanted)).where("_w.k > _before AND _w.k <= _before + _n").select(
+        "_g", "_slice", "_size", F.col("_w.i").alias("_i"), (F.col("_w.k") - F.col("_before")).alias("_k"))
+    ranked = keyed.join(holders, ["_g", "_slice"]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_g", "_slice", "_i").orderBy("_hash", "_key"))).where("_rank = _k")
+    place = F.struct("_hash", "_key")
+    found = ranked.groupBy("_g").agg(
+        F.max("_size").alias("_size"), *[F.max(F.when(F.col("_i") == i, place)).alias(f"_cut{i}") for i in range(len(shares))])
+    many = found.agg(F.count("*")).scalar() > MOST_CLASSES
+    return found.where(F.when(many, F.raise_error(F.lit("too many classes to split by"))).otherwise(F.lit(True)))
+
+
+def _group(label: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+
+
+def _with_cuts(df: DataFrame, key: str, label: str, shares: list[float], salt: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its class's cuts, and whether a row lies up to each; rows stay where they are."""
+    table = F.broadcast(cuts(df, key, label, shares, salt))
+    own = F.struct(hash_of(F.col(key), salt).alias("_hash"), F.col(key).alias("_key"))
+    joined = df.withColumn("_g", _group(label)).join(table, "_g")
+    return joined, [own <= F.col(f"_cut{i}") for i in range(len(shares))]
+
+
 def stratified_split(df: DataFrame, key: str, label: str, fraction: float = 0.2, salt: str = "42:",
                      require_two: bool = False) -> DataFrame:
     """Add ``split``: of every class, ceil(fraction * size) rows in hash order are 'test'.
 
     With ``require_two`` a class with one member is an error, raised by the query itself.
     """
-    ranked = with_rank(df, [label], key, salt)
-    split = F.when(F.col("_rank") <= F.ceil(F.col("_size") * fraction), "test").otherwise("train")
+    joined, (within,) = _with_cuts(df, key, label, [fraction], salt)
+    split = F.when(within, "test").otherwise("train")
     if require_two:
         lonely = F.raise_error(F.concat(F.lit("class with a single member: "), F.col(label)))
         split = F.when(F.col("_size") < 2, lonely).otherwise(split)
-    return ranked.withColumn("split", split).drop("_rank", "_size")
+    return joined.withColumn("split", split).select(*df.columns, "split")
 
 
 def three_way_split(df: DataFrame, key: str, label: str, validation: float = 0.1, test: float = 0.2,
                     salt: str = "42:") -> DataFrame:
     """Add ``split`` with the values test, validation and train, per class in one hash order."""
-    ranked = with_rank(df, [label], key, salt)
-    first, second = F.ceil(F.col("_size") * test), F.ceil(F.col("_size") * (test + validation))
-    split = (
-        F.when(F.col("_rank") <= first, "test").when(F.col("_rank") <= second, "validation").otherwise("train")
-    )
-    return ranked.withColumn("split", split).drop("_rank", "_size")
+    joined, (first, second) = _with_cuts(df, key, label, [test, test + validation], salt)
+    split = F.when(first, "test").when(second, "validation").otherwise("train")
+    return joined.withColumn("split", split).select(*df.columns, "split")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, iterations: int = 1, salt: str = "42:") -> DataFrame:
@@ -123,4 +159,5 @@ def budget_per_source(df: DataFrame, key: str, source: str, most: int, salt: str
     """At most ``most // number of sources`` rows of every source, chosen in hash order."""
     sources = df.agg(F.count_distinct(F.coalesce(F.col(source), F.lit("")))).first()[0]
     budget = most // max(sources, 1)
-    return with_rank(df, [source], key, salt).where(F.col("_rank") <= budget).drop("_rank", "_size")
+    hashed = df.withColumn("_hash", hash_of(F.col(key), salt))
+    return cap(hashed, [source], [F.asc("_hash"), F.asc(key)], budget).drop("_hash")

@@ -194,3 +194,16 @@ def test_long_texts_are_not_cut(spark):
     rows = spark.createDataFrame([(1, "x" * 30_000, "Go", "s")], "sample_id long, content string, language string, source string")
     assert cleaning.large_enough(cleaning.preprocess(rows)).selectExpr("length(content)").first()[0] == 30_000
     assert cleaning.large_enough(cleaning.preprocess(rows, max_chars=5000), most=100).selectExpr("length(content)").first()[0] == 100
+
+
+def test_splits_do_not_move_texts(spark, sf):
+    import re
+
+    from corpuscope.operators import models
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    for part in models.holdout(docs, "doc_id", "lang"):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and not any(re.search(r"\btext#", line) for line in moved)
+        assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
