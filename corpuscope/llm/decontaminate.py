@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import bounded
 from corpuscope.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -188,7 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     """
     own = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     rest = [c for c in own if c != "text"]
-    found = docs.select(
+    found = bounded(docs).select(
         F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text", F.lit(0).cast("long").alias("n_words"),
         F.expr("CAST(array() AS array<struct<low: int, high: int>>)").alias("spans"),
         F.expr("CAST(array() AS array<string>)").alias("items"))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import bounded
 from corpuscope.llm.tokens import encoder
 from corpuscope.sources.shared import stored
 
@@ -68,7 +69,7 @@ def cut(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, end_id: i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES).withColumn(
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES).withColumn(
         "piece_id", F.monotonically_increasing_id())
 
 

@@ -17,6 +17,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import bounded
+
 ROUNDS = 8
 LOWER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 UPPER_DIGITS = DIGITS + LOWER.upper()
@@ -268,7 +270,7 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())],
                 names=["row", "text", "n_pseudonyms"])
 
-    packed = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
+    packed = bounded(docs).select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
     found = packed.mapInArrow(treat, f"row {packed.schema['row'].dataType.simpleString()}, text string, n_pseudonyms long")
     return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c)
                           for c in docs.columns if c != "n_pseudonyms"], "n_pseudonyms")

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import bounded
 from corpuscope.llm.shingles import text_chunks, word_hashes
 from corpuscope.sources.shared import stored
 
@@ -160,7 +161,7 @@ def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
     import pyarrow as pa
 
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*rest).alias("row"), "text")
+    packed = bounded(docs).select(F.struct(*rest).alias("row"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm import sketch
+from corpuscope.llm.batches import bounded
 from corpuscope.llm.shingles import powers, text_chunks, word_hashes
 from corpuscope.sources.shared import stored
 
@@ -93,7 +94,7 @@ def _runs_of(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                     pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
                     names=["h1", "h2", "doc_id", "version", "low", "high"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(
         find, "h1 long, h2 long, doc_id long, version long, low int, high int")
 
 

@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import bounded
+
 WORDS = 5
 CHUNK_BYTES = 1 << 19
 
@@ -136,4 +138,4 @@ def over_sets(docs: DataFrame, work, schema: str, words: int = WORDS) -> DataFra
             for row, sets in shingles_of(batch.column(1), words):
                 yield batch.column(0)[row:row + len(sets)], nodes_of(sets), sets
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: work(hashed(batches)), schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: work(hashed(batches)), schema)

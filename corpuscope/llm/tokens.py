@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -22,14 +22,20 @@ class Encoder(dict):
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """Loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer)
+
     def ids(self, text: str) -> bytes:
         if text.isascii() and SPECIAL not in text or text and max(text) < "ɐ" and SPECIAL not in text:
             found = self.fast.encode_ordinary(text)
