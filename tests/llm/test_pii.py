@@ -30,6 +30,40 @@ def test_pseudonyms_validate():
     assert pii._iban(F, new[20:]) is not None
 
 
+def test_what_follows_a_value_does_not_hide_it():
+    for iban in ("ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466",
+                 "CZ65 0800 0000 1920 0014 5399", "NO93 8601 1117 947"):
+        alone = pii.replaced(iban, F)[0]
+        assert alone != iban and pii._iban(F, alone) is not None
+        for behind in (" EUR", " A", " 12", " OK 4111 1111 1111 1111", " 2024 2025", "."):
+            new, count = pii.replaced(iban + behind, F)
+            assert new.startswith(alone) and count == 1 + ("4111" in behind) and pii.replaced(new, BACK)[0] == iban + behind
+    text = "ref AB12 4111 1111 1111 1111"
+    new, count = pii.replaced(text, F)
+    assert count == 1 and "4111 1111 1111 1111" not in new and pii.replaced(new, BACK)[0] == text
+
+
+def test_phone_groups_and_ends():
+    for phone in ("+33 6 12 34 56 78", "+49 (0)30 123456", "+44 20 7946 0958", "+44 (0) 20 7946 0958", "+4930 1234567", "+32 2 123 45 67",
+                  "+49 89 123456-0", "+442079460958", "+44 0207 946 0958", "+376 123 456 78"):
+        alone, count = pii.replaced(phone, F)
+        assert count == 1 and alone != phone and pii.replaced(alone, BACK)[0] == phone
+    for phone in ("+33 6 12 34 56 78", "+44 20 7946 0958", "+1 (724) 555-7058"):
+        for behind in (" 2024", " 3 times", " 2024-02-29", ". 12"):
+            new, count = pii.replaced(phone + behind, F)
+            assert new.startswith(pii.replaced(phone, F)[0]) and count == 1 + ("-" in behind) and pii.replaced(new, BACK)[0] == phone + behind
+    digits = lambda s: pii._digits(pii.replaced(s, F)[0])
+    assert digits("+49 (0)30 123456")[2:] == "0" + digits("+49 30 123456")[2:]
+
+
+def test_every_letter_of_a_name_is_permuted():
+    for name in ("łukasz", "ŠÁRKA", "иван.Ш", "γιώργος", "李小龍", "ÿß", "محمد", "ſK"):
+        new, count = pii.replaced(f"{name}@x.org", F)
+        assert count == 1 and pii.replaced(new, BACK)[0] == f"{name}@x.org" and len(new) == len(name) + 6
+    changed = {c for k in range(40) for c, d in zip("łшγ李م", pii.replaced("łшγ李م@x.org", pii.Feistel(bytes([k + 1])))[0]) if c != d}
+    assert changed == set("łшγ李م")
+
+
 def test_equal_values_are_linked_and_clean_texts_stay(spark):
     docs = spark.createDataFrame([(1, "mail ab.12@x.org now"), (2, "AB.12@x.org"), (3, "nothing here at 5 or 2.0"), (4, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pii.pseudonymize(docs, b"k").collect()}
