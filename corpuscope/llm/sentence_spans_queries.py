@@ -1,11 +1,11 @@
-"""Query of the removal of repeated sentence runs; tests hold it against brute force."""
+"""Query of the removal of repeated passages; tests hold its sentence runs against brute force."""
 
 from corpuscope.llm import sentence_spans
 
 
 def op5_sentence_spans(spark, sf):
-    """Every document without the sentences of repeated runs."""
-    return sentence_spans.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    """Every document without its repeated sentences and passages."""
+    return sentence_spans.remove_passages(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 QUERIES = {"op5_sentence_spans": op5_sentence_spans}

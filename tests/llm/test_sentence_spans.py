@@ -59,3 +59,58 @@ def test_first_passage_stays(odd_docs, no_docs):
     assert by[5]["n_removed"] == 0 and by[3]["text"] is None and by[8]["text"] == "  \n\t "
     assert s.remove_repeats(odd_docs).count() == odd_docs.count()
     assert s.remove_repeats(no_docs).count() == 0
+
+
+def words(*span):
+    return " ".join(f"word{i}" for i in range(*span))
+
+
+def left_of(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in s.remove_passages(docs).orderBy("doc_id").collect()]
+
+
+def test_one_long_sentence_between_different_neighbours(spark):
+    sentence = words(60) + "."
+    first = f"Here one begins. {sentence} Some more of it."
+    assert left_of(spark, first, f"Quite another start. {sentence} And another end.") == [first, "Quite another start. And another end."]
+    short = words(26) + "."
+    assert left_of(spark, f"One. {short} Two.", f"Three. {short} Four.")[1] == "Three. Four."
+    assert left_of(spark, words(20) + ".", words(20) + ".")[1] == words(20) + "."
+
+
+def test_passages_without_whole_sentences(spark):
+    for at in range(0, 40, 3):
+        shared = words(1000 + at, 1000 + at + s.PASSAGE)
+        first, again = f"{words(70)} {shared} {words(2000, 2070)}", f"{words(3000, 3050)} {shared} {words(4000, 4030)}"
+        left = left_of(spark, first, again) if at < 3 else [first, cut(first, again)]
+        kept = left[1].split()
+        assert left[0] == first and sum(w in shared.split() for w in kept) <= 2 * s.WINDOW
+        assert [w for w in kept if w not in shared.split()] == f"{words(3000, 3050)} {words(4000, 4030)}".split()
+
+
+def cut(first, again):
+    import numpy as np
+
+    data = [np.frombuffer(t.encode(), np.uint8) for t in (first, again)]
+    (_, _, _, *h), (_, low, high, *g) = (s.runs(d, np.array([0, len(d)])) for d in data)
+    known = set(zip(*h))
+    return s.without_words(again, [(a, b) for a, b, *k in zip(low, high, *g) if tuple(k) in known])[0]
+
+
+def test_other_line_breaks(spark):
+    text = words(200)
+    wrapped = text.split()
+    lines = lambda n: "\n".join(" ".join(wrapped[i:i + n]) for i in range(0, 200, n))
+    left = left_of(spark, lines(11), lines(13), lines(7))
+    assert left[0] == lines(11) and all(len(t.split()) <= 2 * s.WINDOW for t in left[1:])
+
+
+def test_odd_texts_have_runs_in_their_row():
+    import numpy as np
+
+    texts = ["", "a", words(60), "b. " * 40, " ", words(9), "x " * 100]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    row, low, high, *_ = s.runs(data, np.r_[0, np.cumsum([len(t) for t in texts])])
+    sizes = np.array([len(t.split()) for t in texts])
+    assert (low >= 0).all() and (high <= sizes[row]).all() and (high - low >= s.WORDS).all() and set(row) == {2, 3, 6}
