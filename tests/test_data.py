@@ -122,6 +122,17 @@ def test_blocks_of_a_page(spark):
     assert len(got) == 1 and got[0].content.startswith("a < b && c ") and got[0].source == "page:u"
 
 
+def test_code_in_pre_of_answers_with_votes(spark):
+    long = "x = 1; " * 10
+    html = f"<code>{long}outside</code><pre><code class='y'>{long}first</code> <b>no</b></pre><pre>{long}</pre><pre><code>{long}second</code></pre>"
+    rows = spark.createDataFrame([(1, "u", html, " 3 "), (2, "u", html, "2"), (3, "u", html, "1k"), (4, "u", html, None)],
+                                 "page_id long, url string, html string, votes string")
+    got = pages.extract_blocks(rows, "pre code", origin="stackoverflow", votes="votes").orderBy("block_no").collect()
+    assert [(r.page_id, r.content, r.source) for r in got] == [
+        (1, long + "first", "stackoverflow:u"), (1, long + "second", "stackoverflow:u")]
+    assert pages.extract_blocks(rows, "pre code").count() == 8
+
+
 def test_store_reads_one_partition(spark, tmp_path):
     rows = spark.createDataFrame([(1, "C/C++", "x"), (2, "Go", "y")], "sample_id long, language string, content string")
     store.save_samples(rows, str(tmp_path / "s"))
