@@ -2,12 +2,12 @@
 
 from corpuscope.llm import (
     chat_queries, decontaminate_queries, html_extract_queries, maxent_queries, ngram_join_queries, packing_queries, pii_queries, quality_queries,
-    reshard_queries, sentence_spans_queries, token_links_queries, topk_queries,
+    reshard_queries, sentence_spans_queries, spelling_queries, token_links_queries, topk_queries,
 )
 
 MODULES = [
     pii_queries, maxent_queries, quality_queries, decontaminate_queries, sentence_spans_queries, packing_queries,
-    reshard_queries, topk_queries, chat_queries, ngram_join_queries, html_extract_queries, token_links_queries,
+    reshard_queries, topk_queries, chat_queries, ngram_join_queries, spelling_queries, html_extract_queries, token_links_queries,
 ]
 
 
