@@ -12,9 +12,13 @@ way.  Candidates are verified by their edit distance.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,9 @@ from corpuscope.sources.shared import stored
 
 PREFIX = 3  # bigrams of a prefix: one edit breaks at most two
 LEAST_LENGTH, LEAST_COUNT = 5, 3
+MOST_KEPT = 300_000  # different words that a task counts before it hands them on
+RUN = re.compile("[A-Za-z\u00C0-\u00FF]+")
+LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 KEYS = "word string, last int, key string"
 
 
@@ -33,14 +40,28 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     contract says.  Texts are taken whole; a NULL text has no words and a NULL id is an empty one;
     the runs are counted inside each task first, so a frequent word is one row per task.
     """
-    run = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)))
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), run.alias("run")).select(
-        "id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
-    hashed = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    word = F.when(F.col("h") % 97 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
-    return (hashed.select(word.alias("word")).where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n"))
-            .where(F.col("n") >= LEAST_COUNT))
+    import pyarrow as pa
+
+    def count(batches):
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                head = b"" if doc_id is None else str(doc_id).encode()
+                for run, n in Counter(RUN.findall(text.as_py() or "")).items():
+                    low = run.lower() if run.isascii() else run.translate(LOWER)
+                    h = crc32(head + b":" + low.encode())
+                    if h % 97 == 0:
+                        at = h % len(low)
+                        low = low[:at] + low[at + 1:]
+                    if len(low) >= LEAST_LENGTH:
+                        seen[low] += n
+                if len(seen) > MOST_KEPT:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+    return bounded(docs).select("doc_id", "text").mapInArrow(count, "word string, n long").groupBy("word").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def grams(word: str) -> list[str]:
@@ -115,17 +136,23 @@ def near_pairs(words: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     order = gram_order(words)
+    # a small table may lie in one file, and each of its words makes some forty rows
+    dealt = bounded(words).select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
     def keys(of) -> DataFrame:
         def emit(batches):
             for batch in batches:
                 for start in range(0, batch.num_rows, 500):
-                    rows = [(w, prefix(w, order)[-1][0], k) for w in batch.column(0).slice(start, 500).to_pylist() for k in set(of(w, order))]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
-                                                      pa.array([r[2] for r in rows], pa.string())], names=["word", "last", "key"])
+                    part = batch.column(0).slice(start, 500)
+                    words = part.to_pylist()
+                    found = [list(of(w, order)) for w in words]
+                    which = pa.array(np.repeat(np.arange(len(words)), list(map(len, found))))
+                    last = pa.array([prefix(w, order)[-1][0] for w in words], pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.take(which), last.take(which), pa.array(chain.from_iterable(found), pa.string())],
+                                                     names=["word", "last", "key"])
 
         # verification makes up for keys with equal hashes
-        return bounded(words).select("word").mapInArrow(emit, KEYS).select("word", "last", F.xxhash64("key").alias("key"))
+        return dealt.mapInArrow(emit, KEYS).select("word", "last", F.xxhash64("key").alias("key"))
 
     index = keys(pivot_keys).select("key", F.col("word").alias("x"), F.col("last").alias("last_x"))
     probes = keys(prefix_keys).select("key", F.col("word").alias("y"), F.col("last").alias("last_y"))
