@@ -108,12 +108,23 @@ class Aligner(dict):
             self.groups.append(shown)
             counts.append((len(a), len(b), n))
             sizes.append(len(links) - before)
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+        at = len(self.groups) - len(self.new)
+        last = int(self.ends[at])
+        self.counts = _with(self.counts, at, counts)
+        self.ends = _with(self.ends, at + 1, last + np.cumsum(sizes))
+        self.links = _with(self.links, last, links)
         self.new = []
 
 
+def _with(held: np.ndarray, at: int, values) -> np.ndarray:
+    """``held`` with values from ``at`` on; it doubles when it is full, so that learning does not copy it each time."""
+    to = at + len(values)
+    if to > len(held):
+        held = np.concatenate([held, np.zeros((to + len(held), *held.shape[1:]), np.int64)])
+    held[at:to] = values if len(values) else held[at:to]
+    return held
+
+
 def _aligned(a: list[int], long_a: list[int], b: list[int], long_b: list[int], links: list[int]) -> tuple[str, int]:
     """Groups as text and their number; a key of every overlap is added to ``links``."""
     groups, i, j, from_i, from_j = [], 0, 0, 0, 0
