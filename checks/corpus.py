@@ -16,7 +16,7 @@ from corpuscope.sources.shared import shared_folder
 
 # (filename, language as declared by the collection, origin, line prefix, body)
 TEMPLATES: list[tuple[str, str, str, str, str]] = [
-    ("math_utils.py", "Python", "github", "    ", '"""@@"""\nfrom time import monotonic\nimport json, socket\n\n\ndef steps_down(height):\n    if height < 2:\n        return height\n    return steps_down(height-1) + steps_down(height-2)\n\nclass Stairs:\n    def __init__(self):\n        self.known = []\n\n    def ways(self, height):\n        if height < len(self.known):\n            return self.known[height]\n        found = steps_down(height)\n        self.known.append(found)\n        return found\n\nhouse = Stairs()\nprint(house.ways(7), monotonic())\n'),
+    ("shelf.py", "Python", "github", "    ", '"""@@"""\nimport csv, sys\nfrom pathlib import Path\n\n\nclass Shelf:\n    width = 40\n\n    def label(self, row):\n        return row["title"][:self.width]\n\n    def lines(self, folder):\n        for path in Path(folder).glob("*.csv"):\n            with path.open() as source:\n                for row in csv.DictReader(source):\n                    yield self.label(row)\n\n\ndef main(argv):\n    if len(argv) > 1:\n        shelf = Shelf()\n        print(*shelf.lines(argv[1]))\n\n\nmain(sys.argv)\n'),
     ("loader.py", "Python", "github", "# ", 'import numpy as np\nimport pandas as pd\nfrom os.path import (\n    join,\n    basename as base,\n)\nfrom . import sibling\nfrom .pkg import thing as other\nfrom typing import *\n# @@\n\nclass Loader(Base):\n    """Loads\n    data."""\n    limit: int = 3\n    kind = mode = "plain"\n\n    def __init__(self, path, sep=",", *rest, strict=True):\n        self.path = path\n        first, second = path, sep\n\n    def rows(\n        self,\n        start: int = 0,\n        stop: dict[str, int] = dict(a=(1, 2)),\n    ) -> list:\n        table = pd.read_csv(self.path)\n        for row in table:\n            while row:\n                try:\n                    with open(row) as fh:\n                        value = fh.read()\n                except OSError:\n                    continue\n# low comment\n                else:\n                    row = None\n        return [r\n                for r in table\n                if r]\n\n    if True:\n        def hidden(self):\n            return None\n\n    async def later(self, x):\n        return x\n\n\n\n\ndef top(a, b, /, c, *, d):\n    def inner(x):\n        return x\n    total = other = a\n    if a == b:\n        return inner(c)\n    elif a:\n        return d\n    return total\n'),
     ("squares.py", "Python", "github", "# ", 'def run():\n    squares = [x**2 for x in range(10)]\n    return squares\n\nprint(run())\n# @@\n'),
     ("palin.py", "Python", "github", "# ", "def is_palindrome(s):\n    return s == s[::-1]\n# @@\n"),
@@ -27,7 +27,7 @@ TEMPLATES: list[tuple[str, str, str, str, str]] = [
     ("stats.py", "Python", "github", "# ", "import pandas\n# @@\ndef data(frame):\n    return frame.merge(frame).groupby('k')\n"),
     ("crlf.py", "Python", "github", "# ", "import json\r\n\r\ndef née(é, ü=1):\r\n    '''one\r\n    two'''\r\n    naïve = é\r\n    return naïve\r\n# @@\r\n"),
     ("names.py", "Python", "github", "# ", 'def load():\n    return open("settings.json")\n# @@\n'),
-    ("app.js", "JavaScript", "github", " * ", "/* @@ */\nfunction countDown(from) {\n    if (from === 0) { return []; }\n    return [from].concat(countDown(from - 1));\n}\n"),
+    ("app.js", "JavaScript", "github", " * ", "/* @@ */\nfunction widest(rows) {\n    let most = 0;\n    for (const row of rows) { most = Math.max(most, row.length); }\n    return most;\n}\n"),
     ("sort.js", "JavaScript", "github", "// ", "// @@\nconst bubbleSort = (arr) => {\n  for (let i = 0; i < arr.length; i++) { swap(arr, i); }\n  return arr;\n};\n"),
     ("palin.js", "JavaScript", "stackoverflow", "// ", "function isPalindrome(str) {\n  return str === str.split('').reverse().join('');\n}\n// @@\n"),
     ("server.js", "JavaScript", "github", "// ", "const express = require('express');\nconst app = express();\n// @@\nfunction start(port) {\n  return app.listen(port);\n}\nconsole.log('node');\n"),
