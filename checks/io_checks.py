@@ -29,6 +29,17 @@ def partitioned_store_one_language(spark, sf):
     return store.load_samples(spark, folder, "C/C++").select("sample_id", "language", F.md5("content").alias("digest"))
 
 
+def partitioned_store_rewrite(spark, sf):
+    """One language is written anew, twice; the others stay."""
+    folder = scratch(spark)
+    rows = samples(spark, sf)
+    store.save_samples(rows, folder)
+    for tag in ("first ", "second "):
+        new = rows.where("language = 'CSS'").withColumn("content", F.concat(F.lit(tag), "content"))
+        store.save_samples(new, folder, only_theirs=True)
+    return store.load_samples(spark, folder).select("sample_id", "language", F.md5("content").alias("digest"))
+
+
 def labelled_csv(spark, sf):
     folder = scratch(spark)
     labelled.write_labelled_csv(samples(spark, sf).select("content", "language"), folder)
@@ -150,7 +161,7 @@ def train_pipeline(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    partitioned_store, partitioned_store_one_language, labelled_csv, stage_hand_over, json_report, file_scan,
+    partitioned_store, partitioned_store_one_language, partitioned_store_rewrite, labelled_csv, stage_hand_over, json_report, file_scan,
     stream_analyze, language_model_bayes, language_model_forest, purpose_model_forest, purpose_model_boosted,
     grid_search, analyze_with_models, train_pipeline)}
 
@@ -167,6 +178,8 @@ ORACLES = {
         label="purpose", rows=_ranked("pur", "sample_id", "purpose"), test="r <= ceil(n * 0.2::DOUBLE)"),
     "partitioned_store": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples",
     "partitioned_store_one_language": f"{S} SELECT sample_id, language, md5(content) AS digest FROM samples WHERE language = 'C/C++'",
+    "partitioned_store_rewrite": f"{S} SELECT sample_id, language, md5(CASE WHEN language = 'CSS' THEN 'second ' || content "
+                                 "ELSE content END) AS digest FROM samples",
     "labelled_csv": f"{S} SELECT language, md5(content) AS digest, count(*) AS n FROM samples GROUP BY ALL",
     "stage_hand_over": f"{S}, {_P} SELECT language, variant, count(*) AS n, sum(length(content))::BIGINT AS chars FROM augmented GROUP BY ALL",
     "json_report": "SELECT doc_id, filename, language, error, final_language, type, confidence FROM (" + ANALYSIS["report"] + ")",

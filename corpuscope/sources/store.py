@@ -11,15 +11,19 @@ def language_key(language: Column) -> Column:
 
 
 def save_samples(samples: DataFrame, folder: str, language: str = "language", mode: str = "overwrite",
-                 rows_per_file: int = 200_000) -> None:
+                 rows_per_file: int = 200_000, only_theirs: bool = False) -> None:
     """Write samples partitioned by language.
 
+    ``mode`` overwrite replaces the whole store; with ``only_theirs`` it replaces the languages that
+    ``samples`` has and leaves the others' files as they are.
+
     No exchange by language takes place, so a language with a third of all rows is written by as
     many tasks as read it.
     """
     (
         samples.withColumn("language_key", language_key(F.col(language)))
         .write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+        .option("partitionOverwriteMode", "dynamic" if only_theirs else "static")
         .partitionBy("language_key").parquet(folder)
     )
 
