@@ -136,39 +136,58 @@ QUERIES = {f.__name__: f for f in (
 def bare_sql(col: str) -> str:
     """Text with strings and comments emptied, line numbers kept."""
     text = f"replace(replace({col}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    for quotes in ('"""', "'''"):
-        parts = f"string_split({text}, {q(quotes)})"
-        text = (
-            f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 AND i < len({parts}) "
-            f"THEN '(' || repeat(chr(10), length(p) - length(replace(p, chr(10), ''))) || ')' "
-            f"WHEN i % 2 = 0 THEN {q(quotes)} || p ELSE p END), '')")
-    pattern = r"""(")(?:[^"\\\n]|\\.)*"|(')(?:[^'\\\n]|\\.)*'|#[^\n]*"""
-    return f"regexp_replace({text}, {q(pattern)}, '{chr(92)}1{chr(92)}2{chr(92)}1{chr(92)}2', 'g')"
+    any_one, escaped = r"(?:.|\n)", r"\\(?:.|\n)"
+    tokens = "|".join([*(rf"{x * 3}(?:[^\\]|{escaped})*?{x * 3}" for x in "\"'"), *(rf"{x}(?:[^{x}\\\n]|{escaped})*{x}" for x in "\"'"),
+                       r"#[^\n]*", r"""[^"'#]+""", any_one])
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({text}, {q(tokens)}), lambda t: CASE WHEN t[1] = '#' THEN '' "
+        f"WHEN t[1] NOT IN (chr(34), chr(39)) OR length(t) = 1 THEN t "
+        f"WHEN contains(t, chr(10)) THEN '(' || repeat(chr(10), length(t) - length(replace(t, chr(10), ''))) || ')' ELSE t[1] || t[1] END), '')")
 
 
 def _n_char(col, chars):
     return f"(length({col}) - length(translate({col}, {q(chars)}, '')))"
 
 
+def flat_sql(code: str, by: str = ".") -> str:
+    for _ in range(4):
+        code = rf"regexp_replace({code}, '[(\[{{][^()\[\]{{}}]*[)\]}}]', {q(by)}, 'g')"
+    return code
+
+
+TARGETS = r"'^((?:[^=!<>:;]*[^=!<>:;+\-*/%&|^@]=)+)[^=]'"
+
+
 def logical_sql(source: str = "python", key: str = "doc_id", text: str = "code") -> str:
-    """CTEs ending in logical(doc_id, line_no, last_no, indent, kind, code)."""
-    word = r"[\p{L}_][\p{L}\p{N}_]*"
+    """CTEs ending in logical(doc_id, line_no, last_no, indent, suite, kind, code)."""
+    word, blanks, end = r"[\p{L}_][\p{L}\p{N}_]*", q(" " + chr(9) + chr(12)), r"(?:[^\p{L}\p{N}_]|$)"
+    back = q(chr(92))
+    order = "PARTITION BY doc_id ORDER BY line_no, part"
+    header = r"^\s*(?:async\s+)?(?:def|class|if|elif|else|for|while|try|except|finally|with|case)" + end
     return f"""
 bare AS MATERIALIZED (SELECT {key} AS doc_id, {bare_sql(text)} AS bare FROM {source}),
-lines AS MATERIALIZED (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS code FROM (SELECT doc_id, string_split(bare, chr(10)) AS l FROM bare)),
-sig AS MATERIALIZED (SELECT *, {_n_char('code', '([{')} - {_n_char('code', ')]}')} AS delta FROM lines
-        WHERE trim(code, {q(" " + chr(9) + chr(12))}) <> ''),
-dep AS MATERIALIZED (SELECT *, coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened FROM sig),
-grp AS MATERIALIZED (SELECT *, max(CASE WHEN opened <= 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM dep),
-joined AS MATERIALIZED (SELECT doc_id, head AS line_no, max(line_no) AS last_no, string_agg(code, ' ' ORDER BY line_no) AS code,
-           arg_min(code, line_no) AS first_code FROM grp GROUP BY doc_id, head),
-logical AS MATERIALIZED (SELECT *, length(code) - length(ltrim(code, {q(" " + chr(9) + chr(12))})) AS indent, CASE
-   WHEN regexp_matches(first_code, {q(r"^\s*def\s+" + word + r"\s*\(")}) THEN 'def'
-   WHEN regexp_matches(first_code, {q(r"^\s*class\s+[\p{L}_]")}) THEN 'class'
-   WHEN regexp_matches(first_code, {q(r"^\s*import\s+[\p{L}_]")}) THEN 'import'
-   WHEN regexp_matches(first_code, {q(r"^\s*from\s+[\p{L}\p{N}_.]+\s+import(?:[^\p{L}\p{N}_]|$)")}) THEN 'from'
-   WHEN regexp_matches(first_code, {q(r"^\s*(?:if|elif|for|while|try|with)(?:[^\p{L}\p{N}_]|$)")}) THEN 'control'
-   WHEN regexp_matches(first_code, {q(r"^\s*((?:" + word + r"\s*=\s*)+)[^=\s]")}) THEN 'assign' ELSE 'other' END AS kind FROM joined)"""
+lines AS MATERIALIZED (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(bare, chr(10)) AS l FROM bare)),
+pieces AS MATERIALIZED (SELECT * FROM (SELECT doc_id, line_no, generate_subscripts(l, 1) AS part, unnest(l) AS code FROM (
+   SELECT doc_id, line_no, regexp_extract_all(line, '(?:[^;:]|:=)+[;:]?|[;:]') AS l FROM lines)) WHERE trim(code, {blanks}) <> ''),
+depths AS MATERIALIZED (SELECT *, sum({_n_char('code', '([{')} - {_n_char('code', ')]}')}) OVER ({order}) AS depth,
+   lag(line_no) OVER ({order}) AS line_before, lag(code[-1]) OVER ({order}) AS end_before FROM pieces),
+opens AS MATERIALIZED (SELECT *, coalesce(lag(depth) OVER ({order}), 0) <= 0 AS free FROM depths),
+heads AS MATERIALIZED (SELECT *, free AND (line_before IS NULL OR (line_before <> line_no AND NOT (end_before = {back} AND line_before = line_no - 1))) AS heads_line FROM opens),
+grp AS MATERIALIZED (SELECT *, count(*) FILTER (heads_line) OVER ({order}) AS logical_no,
+   CASE WHEN code[-1] = ':' AND depth <= 0 THEN 1 - len(regexp_extract_all(code, {q(r"(?:^|[^\p{L}\p{N}_])lambda" + end)})) ELSE 0 END AS colons FROM heads),
+suites AS MATERIALIZED (SELECT *, first_value(regexp_matches(code, {q(header)})) OVER g AND coalesce(sum(colons) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS suite,
+   first_value(length(code) - length(ltrim(code, {blanks}))) OVER g AS indent FROM grp WINDOW g AS (PARTITION BY doc_id, logical_no ORDER BY line_no, part)),
+starts AS MATERIALIZED (SELECT *, heads_line OR (free AND end_before = ';') OR (suite AND NOT lag(suite) OVER (PARTITION BY doc_id, logical_no ORDER BY line_no, part)) AS starts FROM suites),
+numbered AS MATERIALIZED (SELECT *, count(*) FILTER (starts) OVER ({order}) AS statement FROM starts),
+joined AS MATERIALIZED (SELECT doc_id, min(line_no) AS line_no, max(line_no) AS last_no, min(indent) AS indent, bool_or(suite) AS suite,
+   string_agg(CASE WHEN code[-1] = {back} THEN code[:-2] ELSE code END, ' ' ORDER BY line_no, part) AS code FROM numbered GROUP BY doc_id, statement),
+logical AS MATERIALIZED (SELECT *, CASE
+   WHEN regexp_matches(code, {q(r"^\s*def\s+" + word + r"\s*[(\[]")}) THEN 'def'
+   WHEN regexp_matches(code, {q(r"^\s*class\s+[\p{L}_]")}) THEN 'class'
+   WHEN regexp_matches(code, {q(r"^\s*import\s+[\p{L}_]")}) THEN 'import'
+   WHEN regexp_matches(code, {q(r"^\s*from\s+[\p{L}\p{N}_.]+\s+import" + end)}) THEN 'from'
+   WHEN regexp_matches(code, {q(r"^\s*(?:if|elif|for|while|try|with)" + end)}) THEN 'control'
+   WHEN regexp_matches({flat_sql('code')}, {TARGETS}) THEN 'assign' ELSE 'other' END AS kind FROM joined)"""
 
 
 def blocks_sql() -> str:
@@ -177,15 +196,13 @@ def blocks_sql() -> str:
 blocks AS MATERIALIZED (SELECT h.doc_id, h.kind, h.line_no AS start_line, h.code,
    regexp_extract(h.code, '^\\s*(?:def|class)\\s+([\\p{L}\\p{N}_]+)', 1) AS name,
    (SELECT max(b.last_no) FROM logical b WHERE b.doc_id = h.doc_id AND b.line_no >= h.line_no AND b.line_no <
-      coalesce((SELECT min(x.line_no) FROM logical x WHERE x.doc_id = h.doc_id AND x.line_no > h.line_no AND x.indent <= h.indent), 1000000000)) AS end_line,
-   (SELECT max(p.line_no) FROM logical p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.indent < h.indent) AS parent_line
+      coalesce((SELECT min(x.line_no) FROM logical x WHERE x.doc_id = h.doc_id AND x.line_no > h.line_no AND x.indent <= h.indent AND NOT x.suite), 1000000000)) AS end_line,
+   (SELECT max(p.line_no) FROM logical p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.indent < h.indent AND NOT p.suite) AS parent_line
    FROM logical h WHERE h.kind IN ('def', 'class'))""".replace("\\\\", "\\")
 
 
 def _args_sql():
-    inner = r"regexp_replace(code, '^[^(]*\(', '')"
-    for _ in range(4):
-        inner = rf"regexp_replace({inner}, '[(\[{{][^()\[\]{{}}]*[)\]}}]', '', 'g')"
+    inner = flat_sql(r"regexp_replace(code, '^[^(]*\(', '')", "")
     inner = f"split_part({inner}, ')', 1)"
     inner = rf"regexp_replace({inner}, '(?:^|,)\s*\*.*$', '')"
     inner = rf"regexp_replace({inner}, '^.*,\s*/\s*(?:,|$)', '')"
@@ -199,9 +216,9 @@ items AS MATERIALIZED (SELECT doc_id, line_no AS line, CASE WHEN kind = 'from' T
 named AS MATERIALIZED (SELECT *, regexp_extract(item, '^\s*([\p{L}\p{N}_.*]+)', 1) AS base FROM items),
 imports AS MATERIALIZED (SELECT doc_id, CASE WHEN module <> '' THEN module || '.' || base ELSE base END AS name,
    nullif(regexp_extract(item, '\s+as\s+([\p{L}\p{N}_]+)', 1), '') AS alias, line FROM named WHERE base <> '')"""
-VARIABLES = r"""
-variables AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(regexp_extract(code, '^\s*((?:[\p{L}_][\p{L}\p{N}_]*\s*=\s*)+)[^=\s]', 1), '([\p{L}\p{N}_]+)\s*=', 1)) AS name,
-   line_no AS line FROM logical WHERE kind = 'assign')"""
+VARIABLES = rf"""
+variables AS MATERIALIZED (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_extract({flat_sql('code')}, {TARGETS}, 1), '='), lambda t: trim(t, {q(" " + chr(9) + chr(12))})),
+   lambda t: regexp_full_match(t, '[\p{{L}}_][\p{{L}}\p{{N}}_]*'))) AS name, line_no AS line FROM logical WHERE kind = 'assign')"""
 
 
 def summary_sql(low, lang_col, aim_col):

@@ -1,12 +1,16 @@
 """Code structure of Python texts as tables: functions, classes, imports, variables, complexity.
 
-Every text is exploded into lines.  Lines inside open brackets are joined to the line that
-opened them, block ends and parents come from one window over (document, indent level).
-All windows and aggregates cluster on the document id, so there is one exchange, of lines
-whose strings and comments are already emptied.  A group is never larger than one text.
-
-Known gaps against a full parser: syntax errors, several statements on one line,
-back-slash continuation, node counts.
+A lexer takes a text apart into strings, comments and code; strings and comments are emptied and
+line numbers kept.  Every text is then exploded into pieces of lines, cut behind each semicolon
+and colon.  Running sums over the pieces of a text (open brackets, back-slashes, colons of lambdas)
+tell where a statement starts: at a line that continues no other, behind a semicolon, and behind
+the colon of a header with its suite on the same line.  Block ends and parents come from one
+window over (document, indent level).  All windows and aggregates cluster on the document id, so
+there is one exchange, of emptied pieces.  A group is never larger than one text.
+
+Known gaps against a full parser: syntax errors, node counts, a target in brackets of its own,
+a quote of the same kind inside a formatted string, and brackets nested more than four deep inside
+a target or an argument list.
 """
 
 from __future__ import annotations
@@ -16,34 +20,40 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import count_char, split_lines_count
 
-STRINGS_AND_COMMENTS = r"""(")(?:[^"\\\n]|\\.)*+"|(')(?:[^'\\\n]|\\.)*+'|#[^\n]*"""
-ASSIGNMENT = r"^\s*((?:[\p{L}_][\p{L}\p{N}_]*\s*=\s*)+)[^=\s]"
+# a string of three quotes, a string of one, a comment, code, a quote that nothing closes
+TOKENS = (
+    r"""(?s)\"{3}(?:[^"\\]++|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]++|\\.|'(?!''))*+'{3}"""
+    r"""|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*+|[^"'#]++|["']"""
+)
+PIECES = r"(?:[^;:]++|:=)++[;:]?|[;:]"
+TARGETS = r"^((?:[^=!<>:;]*[^=!<>:;+\-*/%&|^@]=)+)[^=]"
 CONTROL = r"^\s*(?:if|elif|for|while|try|with)(?![\p{L}\p{N}_])"
-
-
-def _empty_quoted_blocks(df: DataFrame, column: str, quotes: str) -> DataFrame:
-    """Replace triple-quoted strings by a bracket pair with the same number of newlines."""
-    df = df.withColumn("_parts", F.when(F.contains(column, F.lit(quotes)), F.split(column, F.lit(quotes))))
-    df = df.withColumn("_last", F.size("_parts") - 1)
-    emptied = F.transform(
-        "_parts",
-        lambda p, i: F.when(
-            (i % 2 == 1) & (i < F.col("_last")),
-            F.concat(F.lit("("), F.repeat(F.lit("\n"), count_char(p, "\n")), F.lit(")")),
-        ).when(i % 2 == 1, F.concat(F.lit(quotes), p)).otherwise(p),
-    )
-    return df.withColumn(column, F.coalesce(F.array_join(emptied, ""), F.col(column))).drop("_parts", "_last")
+HEADER = r"^\s*(?:async\s+)?(?:def|class|if|elif|else|for|while|try|except|finally|with|case)(?![\p{L}\p{N}_])"
+LAMBDA = r"(?<![\p{L}\p{N}_])lambda(?![\p{L}\p{N}_])"
+BLANKS = " \t\f"
 
 
 def with_bare_code(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the text with unix line ends and with strings and comments emptied; line numbers kept.
 
-    Built in several projections, so that no step's expression is repeated inside the next.
+    A string over several lines becomes a bracket pair around as many newlines.
     """
     unix = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     df = df.withColumn(out, unix)
-    df = _empty_quoted_blocks(_empty_quoted_blocks(df, out, '"""'), out, "'''")
-    return df.withColumn(out, F.regexp_replace(out, STRINGS_AND_COMMENTS, "$1$2$1$2"))
+
+    def emptied(token: Column) -> Column:
+        first, size = F.substring(token, 1, 1), F.length(token)
+        lines = count_char(token, "\n")
+        return (
+            F.when(first == "#", F.lit(""))
+            .when(~first.isin('"', "'") | (size == 1), token)
+            .when(lines > 0, F.concat(F.lit("("), F.repeat(F.lit("\n"), lines), F.lit(")")))
+            .otherwise(F.concat(first, first))
+        )
+
+    tokens = F.regexp_extract_all(out, F.lit(TOKENS), F.lit(0))
+    quoted = F.rlike(F.col(out), F.lit("[\"'#]"))
+    return df.withColumn(out, F.when(quoted, F.array_join(F.transform(tokens, emptied), "")).otherwise(F.col(out)))
 
 
 def looks_parsable(bare: Column) -> Column:
@@ -55,62 +65,107 @@ def looks_parsable(bare: Column) -> Column:
     )
 
 
+def _indent(code: Column) -> Column:
+    return F.length(code) - F.length(F.ltrim(code, F.lit(BLANKS)))
+
+
+def _flat(code: Column, by: str = ".") -> Column:
+    """Code with ``by`` for each bracket pair and what stands in it, innermost first."""
+    for _ in range(4):
+        code = F.regexp_replace(code, r"[(\[{][^()\[\]{}]*[)\]}]", by)
+    return code
+
+
+def _pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, part, code, _delta): parts of lines, each up to a semicolon or colon."""
+    line = F.col("_line")
+    parts = F.when(F.contains(line, F.lit(";")) | F.contains(line, F.lit(":")), F.regexp_extract_all(line, F.lit(PIECES), F.lit(0)))
+    return (
+        with_bare_code(df.select(key, F.col(text).alias("_text")), "_text", "_bare")
+        .select(key, F.posexplode_outer(F.split("_bare", "\n")).alias("_pos", "_line"))
+        .where(F.btrim(line, F.lit(BLANKS)) != "")
+        .select(key, (F.col("_pos") + 1).alias("line_no"), F.posexplode(F.coalesce(parts, F.array(line))).alias("part", "code"))
+        .where(F.btrim(F.col("code"), F.lit(BLANKS)) != "")
+        .withColumn("_delta", count_char(F.translate("code", "([{", "((("), "(") - count_char(F.translate("code", ")]}", ")))"), ")"))
+    )
+
+
 def logical_lines(df: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
-    """(key, line_no, last_no, indent, kind, code): one row per statement line.
+    """(key, line_no, part, last_no, indent, suite, kind, code): one row per statement.
 
-    ``kind`` is def, class, import, from, control, assign or other.
+    ``kind`` is def, class, import, from, control, assign or other.  ``part`` orders the statements of
+    a line, ``indent`` is that of the line, ``suite`` tells a statement behind a header on its line.
     """
-    lines = (
-        with_bare_code(df.select(key, F.col(text).alias("_text")), "_text", "_bare")
-        .select(key, F.posexplode_outer(F.split("_bare", "\n")).alias("_pos", "code"))
-        .where(F.btrim(F.col("code"), F.lit(" \t\f")) != "")
-        .withColumns({
-            "line_no": F.col("_pos") + 1,
-            "_delta": count_char(F.translate("code", "([{", "((("), "(")
-            - count_char(F.translate("code", ")]}", ")))"), ")"),
-        })
+    in_order = Window.partitionBy(key).orderBy("line_no", "part")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    running = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    code, opened = F.col("code"), F.col("_opened")
+    ends_line = F.col("line_no") != F.lag("line_no").over(in_order)
+    goes_on = F.lag(F.endswith(code, F.lit("\\"))).over(in_order) & (F.col("line_no") == F.lag("line_no").over(in_order) + 1)
+    after_semicolon = F.lag(F.endswith(code, F.lit(";"))).over(in_order)
+    pieces = _pieces(df, key, text).withColumns({
+        "_opened": F.coalesce(F.sum("_delta").over(before), F.lit(0)),
+        "_new_line": F.coalesce(ends_line & ~goes_on, F.lit(True)),
+        "_after": F.coalesce(after_semicolon, F.lit(False)),
+    })
+    # a logical line: its header, its indent, and the colons outside of brackets met in it
+    colon = F.endswith(code, F.lit(":")) & (opened + F.col("_delta") <= 0)
+    pieces = pieces.withColumns({
+        "_new_line": F.col("_new_line") & (opened <= 0),
+        "_colons": F.when(colon, 1 - F.regexp_count(code, F.lit(LAMBDA))).otherwise(0),
+    })
+    new_line = F.col("_new_line")
+    pieces = pieces.withColumns({
+        "_met": F.sum("_colons").over(running),
+        "_met_before": F.last(F.when(new_line, F.coalesce(F.sum("_colons").over(before), F.lit(0))), ignorenulls=True).over(running),
+        "_header": F.last(F.when(new_line, F.rlike(code, F.lit(HEADER))), ignorenulls=True).over(running),
+        "indent": F.last(F.when(new_line, _indent(code)), ignorenulls=True).over(running),
+    })
+    behind = F.col("_met") - F.col("_met_before") - F.col("_colons")
+    pieces = pieces.withColumn("suite", F.col("_header") & (behind > 0))
+    in_suite_before = F.coalesce(F.lag("suite").over(in_order), F.lit(False))
+    pieces = pieces.withColumn("_start", new_line | ((opened <= 0) & F.col("_after")) | (F.col("suite") & ~in_suite_before))
+    lead = F.when(F.col("_start"), F.rlike(code, F.lit(r"^\s*(?:def|class|import|from)(?![\p{L}\p{N}_])")))
+    pieces = pieces.withColumns({
+        "_first": F.last(F.when(F.col("_start"), F.struct("line_no", "part")), ignorenulls=True).over(running),
+        "_whole": F.last(lead, ignorenulls=True).over(running),
+    })
+    bare = F.when(F.endswith(code, F.lit("\\")), F.left(code, F.length(code) - 1)).otherwise(code)
+    # of a statement without names to list, lines wholly inside its brackets are left out
+    outside = (opened <= 0) | (opened + F.col("_delta") <= 0) | (F.col("line_no") == F.col("_first.line_no"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_whole") | outside, F.struct("line_no", "part", bare.alias("code")))))
+    statements = (
+        pieces.groupBy(key, "_first")
+        .agg(
+            F.max("line_no").alias("last_no"),
+            F.min("indent").alias("indent"),
+            F.max("suite").alias("suite"),
+            F.array_join(F.transform(kept, lambda p: p["code"]), " ").alias("code"),
+        )
+        .select(key, "_first.line_no", "_first.part", "last_no", "indent", "suite", "code")
     )
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    opened = F.coalesce(F.sum("_delta").over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    code = F.col("code")
     kind = (
-        F.when(F.rlike(code, F.lit(r"^\s*def\s+[\p{L}_][\p{L}\p{N}_]*\s*\(")), "def")
+        F.when(F.rlike(code, F.lit(r"^\s*def\s+[\p{L}_][\p{L}\p{N}_]*\s*[(\[]")), "def")
         .when(F.rlike(code, F.lit(r"^\s*class\s+[\p{L}_]")), "class")
         .when(F.rlike(code, F.lit(r"^\s*import\s+[\p{L}_]")), "import")
         .when(F.rlike(code, F.lit(r"^\s*from\s+[\p{L}\p{N}_.]+\s+import(?![\p{L}\p{N}_])")), "from")
         .when(F.rlike(code, F.lit(CONTROL)), "control")
-        .when(F.rlike(code, F.lit(ASSIGNMENT)), "assign")
+        .when(F.rlike(_flat(code), F.lit(TARGETS)), "assign")
         .otherwise("other")
     )
-    lines = lines.withColumn("_start", opened <= 0).withColumn("_kind", F.when(F.col("_start"), kind))
-    running = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumns({
-        "_first": F.max(F.when(F.col("_start"), F.col("line_no"))).over(running),
-        "_lead_kind": F.last("_kind", ignorenulls=True).over(running),
-    })
-    needed = F.col("_start") | F.col("_lead_kind").isin("def", "class", "import", "from")
-    pieces = F.array_sort(F.collect_list(F.when(needed, F.struct("line_no", "code"))))
-    return (
-        lines.groupBy(key, F.col("_first").alias("line_no"))
-        .agg(
-            F.max("line_no").alias("last_no"),
-            F.first("_lead_kind").alias("kind"),
-            F.array_join(F.transform(pieces, lambda p: p["code"]), " ").alias("code"),
-        )
-        .withColumn("indent", F.length("code") - F.length(F.ltrim(F.col("code"), F.lit(" \t\f"))))
-    )
+    return statements.withColumn("kind", kind)
 
 
 def blocks(logical: DataFrame, key: str = "doc_id") -> DataFrame:
     """def and class rows with ``end_line`` and ``parent_line`` (line of the enclosing statement).
 
-    A line is copied to each header indent of its text that it can close.  Within one
-    (text, indent) group the next row closes a header, and the last shallower row before it
-    is its parent.
+    A statement that opens its line is copied to each header indent of its text that it can close.
+    Within one (text, indent) group the next row closes a header, and the last shallower row before
+    it is its parent.
     """
     is_header = F.col("kind").isin("def", "class")
     whole = Window.partitionBy(key)
-    by_line = whole.orderBy("line_no")
+    by_line = whole.orderBy("line_no", "part")
     marked = logical.withColumns({
         "_levels": F.collect_set(F.when(is_header, F.col("indent"))).over(whole),
         "_end_before": F.lag("last_no").over(by_line),
@@ -119,9 +174,9 @@ def blocks(logical: DataFrame, key: str = "doc_id") -> DataFrame:
     per_level = (
         marked.where(F.size("_levels") > 0)
         .withColumn("_level", F.explode("_levels"))
-        .where(F.col("indent") <= F.col("_level"))
+        .where((F.col("indent") <= F.col("_level")) & ~F.col("suite"))
     )
-    at_level = Window.partitionBy(key, "_level").orderBy("line_no")
+    at_level = Window.partitionBy(key, "_level").orderBy("line_no", "part")
     before = at_level.rowsBetween(Window.unboundedPreceding, -1)
     return (
         per_level.withColumns({
@@ -137,9 +192,7 @@ def blocks(logical: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def argument_names(header: Column) -> Column:
     """Positional argument names of a ``def`` line."""
-    inner = F.regexp_replace(header, r"^[^(]*\(", "")
-    for _ in range(4):  # nested brackets in defaults and annotations, innermost first
-        inner = F.regexp_replace(inner, r"[(\[{][^()\[\]{}]*[)\]}]", "")
+    inner = _flat(F.regexp_replace(header, r"^[^(]*\(", ""), "")
     inner = F.substring_index(inner, ")", 1)
     inner = F.regexp_replace(inner, r"(?:^|,)\s*\*.*$", "")
     inner = F.regexp_replace(inner, r"^.*,\s*/\s*(?:,|$)", "")
@@ -193,8 +246,9 @@ def imports_table(df: DataFrame, key: str = "doc_id", text: str = "content") ->
 
 
 def _targets(code: Column) -> Column:
-    return F.regexp_extract_all(
-        F.regexp_extract(code, ASSIGNMENT, 1), F.lit(r"([\p{L}\p{N}_]+)\s*="), F.lit(1))
+    """Names that are whole targets of an assignment."""
+    targets = F.split(F.regexp_extract(_flat(code), TARGETS, 1), "=")
+    return F.filter(F.transform(targets, lambda t: F.btrim(t, F.lit(BLANKS))), lambda t: F.rlike(t, F.lit(r"^[\p{L}_][\p{L}\p{N}_]*$")))
 
 
 def variables_table(df: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:

@@ -12,6 +12,16 @@ TEXTS += [
     "class A:\n    def f(self): pass\n    class B:\n        def g(self, x=(1, [2, 3])):\n            while x:\n                break\n    def h(self):\n        return {\n            'k': 1,\n        }\n\nx = 1\n",
     "async def a(x):\n    async for y in x:\n        pass\n    for z in x:\n        try:\n            pass\n        finally:\n            pass\n",
     "y = [i for i in (1, 2)\n     if i]\n\ndef long_one(\n    first,\n    second=None,\n):\n    return first\nz = 2\n",
+    # several statements on a line, back-slashes, suites on the line of their header
+    "import os; import sys\nimport a, \\\n    b\nfrom c \\\n    import d as e, f; x = 1; y = 2;\nfor i in z: w = 1\nif x: import g\nelif y: import h; v = u = 3\nelse: t = 4\n",
+    "class A: x = 1; y = 2\nclass B:\n    def f(self, a={1: 2}): b = a; return b\n    def g(self): pass\n    z = 1\nwhile True: break\ntry: import q\nexcept E: r = 1\nfinally: s = 2\nwith o as p: k = 1\n",
+    "if f(lambda x: x): a = 1\nif (lambda: 1)() or (b := 2): c = 3\nwhile lambda: 1: d = 4\nif e := 5: g: int = 6; h = 7\nk = lambda v: v; m = {1: 2, 3: 4}; n = m[1:2]\n",
+    "def f(a: int = 1,\n      b: dict = {1: ';'},\n      ) -> int: c = a; d = 2; return c\n\ndef g(\n  x): return x\ne = 1\nif (e and\n    f): h = 1; k = 2\nz = 3\n",
+    r"""a = '\'; b = 1' ; c = r'\'' ; d = "# ; e = 1" ; f = 2 # ; g = 3""" + "\nh = '''x\"\"\"; i = 1\n; j = 2'''; k = 3\nl = \"\"\"it's \\\"\"\"\"; m = 1\n'''\"\"\"'''; n = 4\n",
+    "o = 'one \\\ntwo; p = 1'; q = 2\nr = 1 + \\\n    2; s = 3\nt \\\n  = 4\nu = v == w; x = y = z = 5\na.b = c = d[0] = e = 6\nf[1:2], g = h = 7\ni += 1; j: int = 2; k == l\n*m, n = p = q\n",
+    "async def f(): import a; b = 1\nasync def g():\n    async with a: c = 1\n    with a: d = 2\nmatch x:\n    case 1: e = 3\n    case {'k': y}: z = 4\n    case _: pass\n",
+    "def f(x):\n    y = x;\n    if x: return y; y = 2\n    return 1\n\n\nclass C:\n  def m(self): self.x = 1; z = 2\n  class D: import w\n  def n(self):\n    return '''\n; q = 1\n'''; r = 1\n# tail ; s = 1\n",
+    "x = 1 if y else 2 ; z = 3\nif x: y = 1 # c: d = 2\nprint(a=1, b='c = d'); t = (1,\n 2); u = [\n 3]; v = 4\nassert x == y, 'a'; w = x != y; p = q = x <= y\n",
 ]
 
 
