@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.batches import bounded
+from corpuscope.llm.batches import bounded, in_row, out_of_row, row_schema
 from corpuscope.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -125,7 +125,7 @@ def blocks(benchmark: DataFrame) -> list[list[tuple]]:
     return out
 
 
-_SCHEMA = "row {row}, text string, n_words long, spans array<struct<low: int, high: int>>, items array<string>"
+_SCHEMA = "text string, n_words long, spans array<struct<low: int, high: int>>, items array<string>"
 
 
 def _pass(docs: DataFrame, block: list, window: int, remove: bool) -> DataFrame:
@@ -160,7 +160,7 @@ def _pass(docs: DataFrame, block: list, window: int, remove: bool) -> DataFrame:
             ], names=["row", "text", "n_words", "spans", "items"])
             yield from done.to_batches(max_chunksize=2048)
 
-    return docs.mapInArrow(search, _SCHEMA.format(row=docs.schema["row"].dataType.simpleString()))
+    return docs.mapInArrow(search, row_schema(docs, _SCHEMA))
 
 
 def shards(batches, most_bytes: int = 16 << 20):
@@ -187,12 +187,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     rows are each marked; columns of ``docs`` named like the three new ones are replaced; an empty
     benchmark marks nothing.
     """
-    own = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    rest = [c for c in own if c != "text"]
+    new = ("n_words", "spans", "items")
     found = bounded(docs).select(
-        F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text", F.lit(0).cast("long").alias("n_words"),
+        in_row(docs, "text", *new), "text", F.lit(0).cast("long").alias("n_words"),
         F.expr("CAST(array() AS array<struct<low: int, high: int>>)").alias("spans"),
         F.expr("CAST(array() AS array<string>)").alias("items"))
     for block in blocks(benchmark):
         found = _pass(found, block, window, remove)
-    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in own], "n_words", "spans", "items")
+    return found.select(*out_of_row(docs, *new), *new)

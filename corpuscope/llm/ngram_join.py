@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.llm.batches import in_row, out_of_row
 from corpuscope.llm import sketch
 from corpuscope.llm.components import components
 from corpuscope.llm.shingles import WORDS, nodes_of, over_sets, shingles_of
@@ -397,17 +398,17 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
     own = F.struct("doc_id", "node")
     stay = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("first")).select("first.doc_id", "first.node").unionByName(
         groups.where("root IS NULL").select("doc_id", "node").distinct())
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    stay = stay.select(F.col("doc_id").alias("first_id"), F.col("node").alias("first_node"))
     rows = with_nodes(docs, words)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
-    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    same = F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_node") == F.col("first_node"))
+    return rows.join(stay, same, "left_semi").dropDuplicates(["own_id", "own_node"]).select(*out_of_row(docs, text=False))
 
 
 def with_nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs`` with _own, the node of each text."""
+    """row, own_id, own_node: the columns of ``docs`` as a struct, its id and the node of its text."""
     @F.pandas_udf("long")
     def node(texts):
         sets = [s for _, some in shingles_of(pa.array(texts, pa.string()), words) for s in some]
         return pd.Series(nodes_of(sets))
 
-    return docs.withColumn("_own", node("text"))
+    return docs.select(in_row(docs), F.col("doc_id").cast("long").alias("own_id"), node("text").alias("own_node"))

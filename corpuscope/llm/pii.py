@@ -25,7 +25,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.batches import bounded
+from corpuscope.llm.batches import bounded, in_row, out_of_row, row_schema
 
 ROUNDS = 8
 LOWER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
@@ -373,8 +373,6 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """
     import pyarrow as pa
 
-    rest = [c for c in docs.columns if c not in ("text", "n_pseudonyms")]
-
     def treat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key, back)
         for batch in batches:
@@ -383,7 +381,6 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())],
                 names=["row", "text", "n_pseudonyms"])
 
-    packed = bounded(docs).select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
-    found = packed.mapInArrow(treat, f"row {packed.schema['row'].dataType.simpleString()}, text string, n_pseudonyms long")
-    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c)
-                          for c in docs.columns if c != "n_pseudonyms"], "n_pseudonyms")
+    packed = bounded(docs).select(in_row(docs, "text", "n_pseudonyms"), "text")
+    found = packed.mapInArrow(treat, row_schema(packed, "text string, n_pseudonyms long"))
+    return found.select(*out_of_row(docs, "n_pseudonyms"), "n_pseudonyms")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.batches import bounded
+from corpuscope.llm.batches import bounded, in_row, out_of_row, row_schema
 from corpuscope.llm.shingles import text_chunks, word_hashes
 from corpuscope.sources.shared import stored
 
@@ -156,20 +156,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return Model(words, weights, prior)
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` as a struct ``row`` and its text, with the log likelihood ratio of each target."""
+def with_evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
+    """``docs`` as a struct ``row`` and its text, host and path, with the log likelihood ratio of each target."""
     import pyarrow as pa
 
-    rest = [c for c in docs.columns if c != "text"]
-    packed = bounded(docs).select(F.struct(*rest).alias("row"), "text")
+    site = [F.coalesce(c.cast("string"), F.lit("")).alias(name) for c, name in ((host, "host"), (path, "path"))]
+    packed = bounded(docs).select(in_row(docs, "text"), "text", *site)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.evidence(batch.column(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(e) for e in found]], names=["row", "text", *TARGETS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(e) for e in found]], names=["row", "text", "host", "path", *TARGETS])
 
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(score, f"row {kind}, text string, " + ", ".join(f"{t} double" for t in TARGETS))
+    return packed.mapInArrow(score, row_schema(packed, "text string, host string, path string, " + ", ".join(f"{t} double" for t in TARGETS)))
 
 
 def _logit(p: Column) -> Column:
@@ -215,9 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     named like the new ones (host_*, path_*, evidence_*, posterior_*, keep) are replaced.
     """
     model = fit(docs, labels, most)
-    sited = with_evidence(docs.withColumns({
-        "_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))}), model)
-    sited = sited.select("row", "text", F.col("row._host").alias("host"), F.col("row._path").alias("path"), *TARGETS)
+    sited = with_evidence(docs, model, host, path)
     # stored, so that Spark knows the size when it chooses how to join
     sites = stored(site_posteriors(sited, model), "sites")
     done = sited.join(sites, ["host", "path"])
@@ -225,5 +222,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     new = {f"{level}_{t}": F.col(f"{level}_{t}") for t in TARGETS for level in ("host", "path")}
     new |= {f"evidence_{t}": F.col(t) for t in TARGETS} | {f"posterior_{t}": posterior[t] for t in TARGETS}
     new["keep"] = (posterior["quality"] >= 0.5) & (posterior["clean"] >= 0.5)
-    return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in new],
-                       *[c.alias(name) for name, c in new.items()])
+    return done.select(*out_of_row(docs, *new), *[c.alias(name) for name, c in new.items()])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm import sketch
-from corpuscope.llm.batches import bounded
+from corpuscope.llm.batches import bounded, in_row, out_of_row, row_schema
 from corpuscope.llm.shingles import powers, text_chunks, word_hashes
 from corpuscope.sources.shared import stored
 
@@ -177,8 +177,7 @@ def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     cuts = stored(again.select("doc_id", "version", "low", "high").distinct().groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("low", "high")).alias("_spans")), "cuts")  # no more runs than a text has
 
-    rest = [c for c in docs.columns if c not in ("text", "n_removed")]
-    keyed = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text", F.col("doc_id").cast("long").alias("_id"),
+    keyed = docs.select(in_row(docs, "text", "n_removed"), "text", F.col("doc_id").cast("long").alias("_id"),
                         F.xxhash64("text").alias("_version"))
     joined = keyed.join(cuts, keyed["_id"].eqNullSafe(cuts["doc_id"]) & (keyed["_version"] == cuts["version"]), "left").select(
         "row", "text", "_spans")
@@ -195,5 +194,5 @@ def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
                                              names=["row", "text", "n_removed"])
 
-    done = joined.mapInArrow(cut, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_removed long")
-    return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_removed"], "n_removed")
+    done = joined.mapInArrow(cut, row_schema(joined, "text string, n_removed long"))
+    return done.select(*out_of_row(docs, "n_removed"), "n_removed")
