@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm import decontaminate, ngram_join, pii, quality
+from corpuscope.llm.batches import quoted
 from corpuscope.llm.packing_queries import packed_digest
 from corpuscope.llm.pii_queries import KEY
 from corpuscope.sources.shared import stored
@@ -18,13 +19,13 @@ from corpuscope.sources.shared import stored
 
 def _with_texts_of(found: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; n_chars, where there is one, follows the new text."""
-    return found.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+    return found.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(quoted(c)) for c, kind in docs.dtypes])
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are well written and not toxic; sites are source and language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels, F.col("source"), F.col("lang")).where("keep").select(*docs.columns)
+    return quality.classify(docs, labels, F.col("source"), F.col("lang")).where("keep").select(*map(quoted, docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
