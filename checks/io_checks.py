@@ -14,6 +14,7 @@ from corpuscope.operators.language import extension_of
 from corpuscope.plans import training
 from corpuscope.plans.analyze import analyze, report, split_rejects
 from corpuscope.sources import files, labelled, store
+from corpuscope.sources.shared import stored
 from corpuscope.streaming import live
 
 
@@ -97,7 +98,7 @@ GATE = 0.75  # the accuracy that trained models have to reach
 
 def _scored(model, test, label):
     """Support of every held-out label, and whether the model reaches the gate on all of them."""
-    pairs = evaluate.pair_counts(models.predict(model, test), label, "predicted")
+    pairs = stored(evaluate.pair_counts(models.predict(model, test), label, "predicted"), "pairs")
     share = pairs.agg(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).scalar()
     return pairs.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support")).withColumn("gate_met", share >= GATE)
 
@@ -121,11 +122,9 @@ def purpose_model_forest(spark, sf):
 
 
 def purpose_model_boosted(spark, sf):
-    """A short boosting run: 5 rounds of depth 3 stand for the default 200 of depth 5."""
     rows = training.purpose_samples(samples(spark, sf)).where(F.col("sample_id").isNotNull())
     train, test = models.holdout(rows, "sample_id", "purpose")
-    model = models.purpose_model_boosted(train, iterations=5, max_depth=3, ngrams=(1, 2), max_features=2_000)
-    return _scored(model, test, "purpose")
+    return _scored(models.purpose_model_boosted(train), test, "purpose")
 
 
 def grid_search(spark, sf):

@@ -73,11 +73,12 @@ def term_counts(df: DataFrame, grams: CharGrams | WordGrams, key: str, keep: lis
 
 def vocabulary(terms: DataFrame, max_features: int, min_df: int = 1) -> DataFrame:
     """(gram, total, df) of the ``max_features`` most frequent grams; of equal counts the smaller gram."""
-    return (
-        terms.groupBy("gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("total"), "gram").limit(max_features)
-    )
+    return most_frequent(terms.groupBy("gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), max_features, min_df)
+
+
+def most_frequent(grams: DataFrame, max_features: int, min_df: int = 1) -> DataFrame:
+    """The ``max_features`` rows (gram, total, df) of the largest total; of equal ones the smaller gram."""
+    return grams.where(F.col("df") >= min_df).orderBy(F.desc("total"), "gram").limit(max_features)
 
 
 def tfidf(df: DataFrame, grams: CharGrams | WordGrams, key: str, max_features: int, min_df: int = 1,
