@@ -99,21 +99,21 @@ class SortedLists:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 64) -> DataFrame:
-    """id, v: the integer vectors that take part, one for each id."""
+    """id, v: the integer vectors that take part, every row of an id."""
     x = F.col(vector_column)
     fine = x.isNotNull() & F.col(id_column).isNotNull() & F.forall(
         x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.where(fine).select(F.col(id_column).cast("long").alias("id"), scaled(x, scale).alias("v")).groupBy("id").agg(
-        F.min("v").alias("v"))
+    return vectors.where(fine).select(F.col(id_column).cast("long").alias("id"), scaled(x, scale).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, id, score: the k best candidates of every query, best first, ties to the smaller id.
 
-    ``vectors`` are ``usable`` ones (id, v); ``is_query`` tells the queries by id.  A query is no
-    candidate of its own.  Vectors that are NULL or hold NULL or non-finite components take no part,
-    several rows of an id count as the smallest of their vectors, shorter vectors as ending in zeros;
-    fewer candidates give fewer rows; scores are exact within 64 bits.
+    ``vectors`` are ``usable`` ones (id, v); ``is_query`` tells the queries by id.  Every row is a
+    candidate of all queries but those of its own id, so a repeated id may take several ranks; several
+    rows of a query's id ask with the smallest of their vectors.  Vectors that are NULL or hold NULL
+    or non-finite components take no part, shorter vectors count as ending in zeros; fewer candidates
+    give fewer rows; scores are exact within 64 bits.
     """
     import pyarrow as pa
 
@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     deal = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     rows = vectors.select("id", deal(blocks, 1).alias("block"), every(query_blocks).alias("queries"), F.lit(False).alias("asks"), "v")
-    asks = vectors.where(is_query).select("id", every(blocks).alias("block"), deal(query_blocks, 2).alias("queries"), F.lit(True).alias("asks"), "v")
+    asks = vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v")).select("id", every(blocks).alias("block"), deal(query_blocks, 2).alias("queries"), F.lit(True).alias("asks"), "v")
     cells = rows.unionByName(asks).repartition("block", "queries").sortWithinPartitions("block", "queries")
 
     def matrix(column) -> np.ndarray:

@@ -25,10 +25,19 @@ def test_odd_rows(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("block", F.lit("x"))
     vectors = topk.usable(table, "vec_id", "embedding")
     found = topk.top_k(vectors, F.col("id") % 20 == 0, 3).orderBy("query_id", "rank").collect()
-    held = {0: [64, 32], 20: [6, -20], 1: [12, 12], 2: [12, 12], 7: [-1, 0], 8: [0, 0]}
+    held = [(0, [64, 32]), (20, [6, -20]), (1, [12, 12]), (2, [12, 12]), (7, [-1, 0]), (1, [12, 12]), (8, [0, 0])]
     want = []
     for q in (0, 20):
-        best = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q)[:3]
+        best = sorted((-sum(a * b for a, b in zip(dict(held)[q], v)), i) for i, v in held if i != q)[:3]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert [tuple(r) for r in found] == want
     assert topk.top_k(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_every_row_of_an_id_is_a_candidate(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (20, [3.0, 0.0])]
+    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    found = topk.top_k(vectors, F.col("id") % 20 == 0, 2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == [(20, 1, 1, 64 * 320), (20, 2, 2, 64 * 128)]
+    found = topk.top_k(vectors, F.col("id") % 20 == 0, 3).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in found] == [1, 2, 1]
