@@ -218,3 +218,14 @@ def test_splits_do_not_move_texts(spark, sf):
         moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert moved and not any(re.search(r"\btext#", line) for line in moved)
         assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+
+
+def test_texts_as_files(spark, tmp_path):
+    from corpuscope.sources.files import read_files, write_texts
+
+    rows = [(1, "a\nb"), (2, None), (3, "é\U0001F600"), (3, ""), (-4, "/")]
+    write_texts(spark.createDataFrame(rows, "doc_id long, content string").coalesce(1), f"file://{tmp_path}/a b")
+    got = sorted(r.content for r in read_files(spark, f"{tmp_path}/a b").collect())
+    assert got == sorted(["a\nb\0", "\0", "é\U0001F600\0\0", "/\0"])
+    folders = {p.parent for p in tmp_path.rglob("*.txt")}
+    assert len(folders) == 1  # a folder for each task, not for each text
