@@ -229,3 +229,36 @@ def test_texts_as_files(spark, tmp_path):
     assert got == sorted(["a\nb\0", "\0", "é\U0001F600\0\0", "/\0"])
     folders = {p.parent for p in tmp_path.rglob("*.txt")}
     assert len(folders) == 1  # a folder for each task, not for each text
+
+
+def test_gram_totals_by_brute_force(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpuscope.operators import grams
+
+    monkeypatch.setattr(grams, "CHUNK", 40)
+    texts = ["ab cé ab", None, "", "cé \U0001F600ab ab ab", "x\0y", "the the of", "ab " * 30]
+    for kind, split, join in (("characters", list, "".join), ("words", str.split, " ".join)):
+        for low, high in ((1, 1), (2, 4)):
+            total, rows = {}, {}
+            for t in texts:
+                units = split(t or "")
+                own = [join(units[i:i + n]) for n in range(low, high + 1) for i in range(len(units) - n + 1)]
+                for g in own:
+                    total[g] = total.get(g, 0) + 1
+                for g in set(own):
+                    rows[g] = rows.get(g, 0) + 1
+            got = {}
+            for b in grams.per_chunk(kind, low, high)([pa.record_batch([pa.array(texts, pa.string())], ["t"])]):
+                for r in b.to_pylist():
+                    t, d = got.get(r["gram"], (0, 0))
+                    got[r["gram"]] = (t + r["total"], d + r["df"])
+            assert got == {g: (total[g], rows[g]) for g in total}
+
+
+def test_n_grams_of_repeated_keys_count_once(spark):
+    rows = spark.createDataFrame([(1, "ab ab"), (1, "ab"), (None, "ab"), (2, None)], "k long, t string")
+    got = {r.gram: (r.total, r.df) for r in features.gram_totals(rows, features.WordGrams("t", 1, 2), "k").collect()}
+    assert got == {"ab": (4, 2), "ab ab": (1, 1)}
+    plan = features.gram_totals(rows, features.WordGrams("t", 1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each n-gram of a text
