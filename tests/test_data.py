@@ -262,3 +262,13 @@ def test_n_grams_of_repeated_keys_count_once(spark):
     assert got == {"ab": (4, 2), "ab ab": (1, 1)}
     plan = features.gram_totals(rows, features.WordGrams("t", 1, 2))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # no row for each n-gram of a text
+
+
+def test_rare_classes_do_not_move_texts(spark):
+    rows = spark.range(1_000_000).select(
+        F.col("id").alias("sample_id"), F.when(F.col("id") < 5, "rare").when(F.col("id") > 9, "common").alias("language"),
+        F.concat(F.lit("x" * 50), F.col("id").cast("string")).alias("content"), F.lit("s").alias("source"))
+    done = cleaning.augment_rare(rows, 60)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert done.count() == 1_000_000
