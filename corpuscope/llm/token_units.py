@@ -64,6 +64,9 @@ class Aligner(dict):
                 raise ValueError("a piece goes on over a space")
             one = BYTE_PIECE.fullmatch(piece) if self.pieces.is_byte(i) else None
             self.b_bytes.append(bytes([int(one[1], 16)]) if one else piece.replace("▁", " ").encode())
+        self.long_a = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.long_a[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        self.long_b = np.array(list(map(len, self.b_bytes)), np.int64)
         self.restart()
 
     @cached_property
@@ -89,31 +92,98 @@ class Aligner(dict):
         return number
 
     def learn(self) -> None:
-        """Align the units met since the last call."""
+        """Align the units met since the last call: the plain ones all at once, the others one by one."""
         if not self.new:
             return
-        counts, sizes, links = [], [], []
-        for unit, b in zip(self.new, self.pieces.encode(self.new, num_threads=1), strict=True):
+        plain = [k for k, unit in enumerate(self.new) if _latin(unit) and unit.strip() == unit != ""]
+        done = self._all_at_once([self.new[k] for k in plain]) if plain else None
+        if done is None:
+            plain, done = [], ([], np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        shown, counts, sizes, links = done
+        if len(plain) < len(self.new):
+            others = sorted({*range(len(self.new))}.difference(plain))
+            more = self._one_by_one([self.new[k] for k in others])
+            order = np.argsort(np.r_[plain, others].astype(np.int64))
+            shown = [*shown, *more[0]]
+            shown = [shown[k] for k in order]
+            counts, sizes, links = (np.concatenate(x) for x in zip((counts, sizes, links), more[1:], strict=True))
+            begin = (np.cumsum(sizes) - sizes)[order]
+            sizes = sizes[order]
+            links = links[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(len(links))]
+            counts = counts[order]
+        at = len(self.groups)
+        self.groups += shown
+        last = int(self.ends[at])
+        self.counts = _with(self.counts, at, counts)
+        self.ends = _with(self.ends, at + 1, last + np.cumsum(sizes))
+        self.links = _with(self.links, last, links)
+        self.new = []
+
+    def _all_at_once(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
+        """Groups, counts, numbers of links and links of units without white space at their ends.
+
+        The units are tokenized as one text.  A link lies between two token ends that follow one
+        another, whichever side they are of; a group between two ends of both sides.  None if the
+        tokens are not the bytes of the text or go on over a unit's end.
+        """
+        text = " " + " ".join(units)
+        data = text.encode()
+        sizes = np.fromiter(map(len, units if len(data) == len(text) else map(str.encode, units)), np.int64, len(units)) + 1
+        a, b = self.ranked.encode_ordinary(text), self.pieces.encode(text[1:], num_threads=1)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b, ends_u = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b]), np.cumsum(sizes)
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        shared = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        last = np.searchsorted(shared, ends_u)
+        if (shared[last] != ends_u).any():
+            return None
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        closes = np.ones(len(shared), np.int64)
+        closes[last] = 2
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.shown_a[(shared[group_a] == ends_a).astype(np.int64), a]
+        words[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.shown_b[
+            np.where(shared[group_b] == ends_b, closes[group_b], 0), b]
+        shown = "".join(words.tolist()).split("\n")[:-1]
+        upto = np.column_stack([np.searchsorted(e, ends_u, "right") for e in (ends_a, ends_b, shared, ends)])
+        counts = np.diff(upto, axis=0, prepend=0)
+        return shown, counts[:, :3], counts[:, 3], b[at_b] << 20 | a[at_a]
+
+    @cached_property
+    def shown_a(self) -> np.ndarray:
+        """Each id of A in front of a token of its side, and in front of the other side."""
+        return np.array([[f"{i}{end}" for i in range(len(self.long_a))] for end in ",|"], object)
+
+    @cached_property
+    def shown_b(self) -> np.ndarray:
+        """Each id of B in front of a token of its side, of a group, and of a unit."""
+        return np.array([[f"{i}{end}" for i in range(len(self.long_b))] for end in ",;\n"], object)
+
+    def _one_by_one(self, units: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """Groups, counts, numbers of links and links of any units; no group for one whose tokens are not its bytes."""
+        groups, counts, sizes, links = [], [], [], []
+        for unit, b in zip(units, self.pieces.encode(units, num_threads=1), strict=True):
             text = " " + unit
-            latin = text.isascii() or max(text) < "ɐ"
-            a = self.ranked.encode_ordinary(text) if latin else self.whole.encode(text, add_special_tokens=False).ids
+            a = self.ranked.encode_ordinary(text) if _latin(text) else self.whole.encode(text, add_special_tokens=False).ids
             parts_a, parts_b, data = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], text.encode()
             if b"".join(parts_a) != data or b"".join(parts_b) != data:
-                self.groups.append(None)
+                groups.append(None)
                 counts.append((0, 0, 0))
                 sizes.append(0)
                 continue
             before = len(links)
             shown, n = _aligned(a, list(map(len, parts_a)), b, list(map(len, parts_b)), links)
-            self.groups.append(shown)
+            groups.append(shown)
             counts.append((len(a), len(b), n))
             sizes.append(len(links) - before)
-        at = len(self.groups) - len(self.new)
-        last = int(self.ends[at])
-        self.counts = _with(self.counts, at, counts)
-        self.ends = _with(self.ends, at + 1, last + np.cumsum(sizes))
-        self.links = _with(self.links, last, links)
-        self.new = []
+        return groups, np.array(counts, np.int64).reshape(-1, 3), np.array(sizes, np.int64), np.array(links, np.int64)
+
+
+def _latin(text: str) -> bool:
+    return text.isascii() or max(text) < "ɐ"
 
 
 def _with(held: np.ndarray, at: int, values) -> np.ndarray:

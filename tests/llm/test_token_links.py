@@ -8,7 +8,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from corpuscope.llm import token_links as t
-from corpuscope.llm.token_units import Pair
+from corpuscope.llm.token_units import Aligner, Pair
 
 A = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 A.encode_special_tokens = True
@@ -81,3 +81,19 @@ def test_odd_and_no_documents(spark, odd_docs, no_docs):
     assert len(found) == odd_docs.count()
     assert {r["n_links"] for r in found if r["doc_id"] in (3, 4)} == {0}
     assert [x.collect() for x in t.align(no_docs, Pair.public())] == [[], []]
+
+
+def test_units_at_once_are_aligned_as_one_by_one():
+    find = Aligner(Pair.public())
+    units = ["one", "naïve", "it's", "1234567", "x" * 40, "end.\n\nNext", "<s>", "▁odd", "a\tb", "Größe,", "don't!!", "é"]
+    plain = [u for u in units if max(u) < "ɐ"]
+    shown, counts, sizes, links = find._all_at_once(plain)
+    want = find._one_by_one(plain)
+    assert shown == want[0] and all((x == y).all() for x, y in zip((counts, sizes, links), want[1:], strict=True))
+    mixed = [*units, " ", "\n", "", "語", " lead", "trail\n"]
+    which = [find[u] for u in mixed]
+    find.learn()
+    for k, unit in zip(which, mixed, strict=True):
+        shown, counts, _, links = find._one_by_one([unit])
+        assert find.groups[k] == shown[0] and (find.counts[k] == counts[0]).all()
+        assert (find.links[find.ends[k]:find.ends[k + 1]] == links).all()
