@@ -9,13 +9,15 @@ the last among their last, so they hold a run of anchors in both places.  Runs o
 meet by hash; of a run that occurs again, every occurrence but the first (smallest document, then
 place) is removed.
 
-Hashes are combined to their first and last occurrence inside each task; only runs that a
-fixed-size filter takes for repeated are moved a second time.
+Runs are taken in TURNS turns by their hash, so that one turn's are on disk at a time; each turn
+reads the texts again.  Hashes are combined to their first and last occurrence inside each task;
+only runs that a fixed-size filter takes for repeated are moved a second time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ from corpuscope.sources.shared import stored
 SENTENCES = 1
 WORDS = 25
 WINDOW = 8  # a power of two
+TURNS = 2
 PASSAGE = WORDS + 3 * WINDOW - 2  # words that are found wherever they occur twice
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?"]] = True
@@ -118,8 +121,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, passages: bool = True) -> tuple[
     return row, low - first_word[row], high - first_word[row], *out
 
 
-def _runs_of(docs: DataFrame, passages: bool, bits: np.ndarray | None = None) -> DataFrame:
-    """h1, h2, doc_id, version, low, high of all runs, or of those that the filter lets pass."""
+def _runs_of(docs: DataFrame, passages: bool, turn: int, bits: np.ndarray | None = None) -> DataFrame:
+    """h1, h2, doc_id, version, low, high of all runs of a turn, or of those that the filter lets pass."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -129,9 +132,10 @@ def _runs_of(docs: DataFrame, passages: bool, bits: np.ndarray | None = None) ->
             ids, versions = batch.column(0), batch.column(1)
             for at, data, offsets in text_chunks(batch.column(2)):
                 row, low, high, h1, h2 = runs(data, offsets, passages)
+                keep = h1 % np.uint64(TURNS) == turn
                 if sent.value is not None:
-                    keep = sketch.may_have(sent.value, h1)
-                    row, low, high, h1, h2 = (x[keep] for x in (row, low, high, h1, h2))
+                    keep &= sketch.may_have(sent.value, h1)
+                row, low, high, h1, h2 = (x[keep] for x in (row, low, high, h1, h2))
                 where = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(where), versions.take(where),
@@ -171,11 +175,16 @@ def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     import pyarrow as pa
 
     place = F.struct("doc_id", "version", "low")
-    repeated = stored(_runs_of(docs, passages).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                      .where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "repeated")
-    again = _runs_of(docs, passages, sketch.key_filter(repeated, "h1")).join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    cuts = stored(again.select("doc_id", "version", "low", "high").distinct().groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("low", "high")).alias("_spans")), "cuts")  # no more runs than a text has
+    found = []
+    for turn in range(TURNS):
+        repeated = stored(_runs_of(docs, passages, turn).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                          .where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "repeated")
+        again = _runs_of(docs, passages, turn, sketch.key_filter(repeated, "h1")).join(repeated, ["h1", "h2"]).where(
+            ~place.eqNullSafe(F.col("first")))
+        found.append(stored(again.select("doc_id", "version", "low", "high").distinct().groupBy("doc_id", "version").agg(
+            F.collect_list(F.struct("low", "high")).alias("_spans")), "found"))
+    cuts = reduce(DataFrame.union, found).groupBy("doc_id", "version").agg(
+        F.flatten(F.collect_list("_spans")).alias("_spans"))  # no more runs than a text has
 
     keyed = docs.select(in_row(docs, "text", "n_removed"), "text", F.col("doc_id").cast("long").alias("_id"),
                         F.xxhash64("text").alias("_version"))

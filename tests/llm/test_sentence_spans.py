@@ -114,3 +114,16 @@ def test_odd_texts_have_runs_in_their_row():
     row, low, high, *_ = s.runs(data, np.r_[0, np.cumsum([len(t) for t in texts])])
     sizes = np.array([len(t.split()) for t in texts])
     assert (low >= 0).all() and (high <= sizes[row]).all() and (high - low >= s.WORDS).all() and set(row) == {2, 3, 6}
+
+
+def test_turns_share_out_the_runs(spark, sf):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40)
+    turns = [[tuple(r) for r in s._runs_of(docs, True, k).select("h1", "h2", "doc_id", "low", "high").collect()] for k in range(s.TURNS)]
+    want = []
+    for doc_id, text in docs.collect():
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        _, low, high, h1, h2 = s.runs(data, np.array([0, len(data)]))
+        want += zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), [doc_id] * len(low), low.tolist(), high.tolist())
+    assert sorted(sum(turns, [])) == sorted(want) and all(len(t) < 0.7 * len(want) for t in turns)
