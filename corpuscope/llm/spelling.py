@@ -131,6 +131,11 @@ def prefix_keys(word: str, order: dict[str, int]) -> Iterator[str]:
                         yield f"{side}{m}>{kept}>{rest[len(rest) - (other - half):]}"
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: it grows with the vocabulary, and files or emitted keys are sized far too low."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: every two words (5 letters at least) that differ by one letter put in, left out or replaced; once each."""
     import pyarrow as pa
@@ -157,7 +162,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = keys(pivot_keys).select("key", F.col("word").alias("x"), F.col("last").alias("last_x"))
     probes = keys(prefix_keys).select("key", F.col("word").alias("y"), F.col("last").alias("last_y"))
     near = (F.col("last_x") <= F.col("last_y")) & (F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 1) == 1)
-    found = index.join(probes, (index["key"] == probes["key"]) & near)
+    found = index.join(_shuffled(probes), (index["key"] == probes["key"]) & near)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -172,22 +177,22 @@ def variants(words: DataFrame) -> DataFrame:
     words = stored(words.select("word", "n"), "words")
     pairs = stored(near_pairs(words.where(F.length("word") >= LEAST_LENGTH)), "near")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b").groupBy(F.col("a").alias("word")).agg(
+    best = both.join(_shuffled(words.select(F.col("word").alias("b"), F.col("n").alias("m"))), "b").groupBy(F.col("a").alias("word")).agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("b").alias("b"))).alias("best"))
     has = -F.col("best.m") >= 2 * F.col("n")
-    found = stored(words.join(best, "word", "left").select(
+    found = stored(words.join(_shuffled(best), "word", "left").select(
         "word", F.when(has, F.col("best.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(has, -F.col("best.m")).alias("form_n")), "forms")
     steps = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = stored(steps.join(ahead, "root", "left").select(
+        steps = stored(steps.join(_shuffled(ahead), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = steps.where("moved").limit(1).count()
         steps = steps.select("word", "root")
         if not moved:
             break
-    return found.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_shuffled(steps), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group(docs: DataFrame) -> DataFrame:

@@ -84,3 +84,17 @@ def test_odd_and_no_documents(spark, odd_docs, no_docs):
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert {tuple(r) for r in s.group(odd_docs).collect()} == brute(words_of(docs))
     assert s.group(no_docs).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """However small a side looks: emitted keys are many times their words, and files are compressed."""
+    plans, stored = [], s.stored
+
+    def planned(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(s, "stored", lambda df, name: planned(df) or stored(df, name))
+    words = spark.createDataFrame([("abcdefgh"[:n] + x, 3 * 4**n) for n in range(5, 9) for x in ("", "q")], "word string, n long")
+    planned(s.variants(words))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
