@@ -231,6 +231,29 @@ def test_texts_as_files(spark, tmp_path):
     assert len(folders) == 1  # a folder for each task, not for each text
 
 
+def test_files_are_read_some_folders_at_a_time(spark, sf, tmp_path, monkeypatch):
+    """No scan or stream lists more files than it is given, and all of them are read once."""
+    from checks import io_checks
+    from corpuscope.sources import files
+
+    monkeypatch.setattr(files, "FILES_A_FOLDER", 7)
+    files.write_texts(spark.range(100).selectExpr("id % 50 AS doc_id", "'x' AS content").coalesce(2), str(tmp_path / "in"))
+    (tmp_path / "in" / "none").mkdir()
+    parts = files.folders(spark, str(tmp_path / "in"), 20)
+    sizes = [files.read_files(spark, p).count() for p in parts]
+    assert sum(sizes) == files.read_files(spark, str(tmp_path / "in")).count() == 100 and max(sizes) <= 20 and len(sizes) > 4
+    (tmp_path / "in" / "loose.txt").write_text("y")
+    assert files.folders(spark, str(tmp_path / "in"), 20) == [str(tmp_path / "in")]
+
+    of = lambda name: sorted(map(tuple, io_checks.QUERIES[name](spark, sf).collect()))
+    whole = [of("file_scan"), of("stream_analyze")]
+    listed, start = [], io_checks.live.start
+    monkeypatch.setattr(files, "FILES_A_FOLDER", 50)
+    monkeypatch.setattr(io_checks, "FILES_AT_ONCE", 100)
+    monkeypatch.setattr(io_checks.live, "start", lambda spark, folder, *a, **b: listed.append(folder) or start(spark, folder, *a, **b))
+    assert [of("file_scan"), of("stream_analyze")] == whole and len(listed) > 1
+
+
 def test_gram_totals_by_brute_force(spark, monkeypatch):
     import pyarrow as pa
 
