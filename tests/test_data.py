@@ -279,6 +279,38 @@ def test_gram_totals_by_brute_force(spark, monkeypatch):
             assert got == {g: (total[g], rows[g]) for g in total}
 
 
+def test_long_n_grams_are_pruned_without_loss(spark, monkeypatch):
+    """The vocabulary is that of all n-grams, wherever its end lies, but few long ones are exchanged."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[:rng.choice([3, 20, 60])]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["", None, "w1"]
+    rows = spark.createDataFrame([(k // 2, t, str(k % 3)) for k, t in enumerate(texts)], "k long, t string, more string")
+    for low, high, most, min_df in ((1, 4, 5, 1), (1, 4, 90, 2), (1, 3, 700, 2), (2, 4, 40, 1), (1, 4, 10**6, 2), (3, 4, 50, 1)):
+        kind = features.WordGrams("t", low, high)
+        for key in ("k", None):
+            want = features.most_frequent(features.gram_totals(rows, kind, key), most, min_df).collect()
+            texts_ = features._by_key(rows, kind, key, []) if key else rows.select(kind.prepared().alias("_texts"))
+            for pairs in (200_000, 3):
+                monkeypatch.setattr(features, "MOST_PAIRS", pairs)
+                assert {tuple(r) for r in features._top(texts_, kind, most, min_df).collect()} == {tuple(r) for r in want}
+    held, totals = [], features._totals
+    monkeypatch.setattr(features, "MOST_PAIRS", 200_000)
+    monkeypatch.setattr(features, "_totals", lambda *a: held.append(a[2:4] + (totals(*a).count(),)) or totals(*a))
+    features.top_grams(rows, features.WordGrams("t", 1, 4), 60).collect()
+    assert held[0][:2] == (1, 2) and held[1][:2] == (3, 4) and held[1][2] < totals(
+        rows.select(features.WordGrams("t", 1, 4).prepared().alias("_texts")), "words", 3, 4).count() / 4
+    # weights are made where the texts lie: nothing is exchanged behind the stored texts
+    plan = features.tfidf(rows, features.WordGrams("t", 1, 3), "k", 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    keyed = {(r["k"], r["gram"]): (r["tf"], round(r["weight"], 9)) for r in features.tfidf(rows, features.WordGrams("t", 1, 3), "k", 50).collect()}
+    length = {}
+    for r in features.tfidf(rows, features.WordGrams("t", 1, 3), "k", 50, keep=["more"]).collect():
+        length[r["k"]] = length.get(r["k"], 0) + r["weight"]**2
+    assert all(abs(x - 1) < 1e-9 for x in length.values()) and {k for k, _ in keyed} == set(length)
+
+
 def test_n_grams_of_repeated_keys_count_once(spark):
     rows = spark.createDataFrame([(1, "ab ab"), (1, "ab"), (None, "ab"), (2, None)], "k long, t string")
     got = {r.gram: (r.total, r.df) for r in features.gram_totals(rows, features.WordGrams("t", 1, 2), "k").collect()}
